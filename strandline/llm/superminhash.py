@@ -134,49 +134,78 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, leads: int = 3) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     Documents with equal sets collapse to their least doc_id. Representatives meet in buckets of equal
     bands: at a similarity of 0.8, 32 bands of 4 rows miss a pair with probability (1 - 0.8^4)^32, below
-    1e-7. Every bucket first compares its members with its least member. Where members of a bucket are
-    still in different components, all pairs across them are compared too, so no candidate is dropped,
-    while a large group of near copies costs one comparison a member and band.
+    1e-7. A bucket first compares its members with the one that meets most others, the likely origin of a
+    group of near copies, at one comparison a member. For ``leads`` rounds, buckets whose members are still
+    in different components take a further lead from another component; what is open then is compared
+    across components in full, so no candidate is dropped.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows_ = scratch.write(signatures(docs, width, bands, rows), "signatures")
-    reps = rows_.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.write(reps, "classes")
-    first = rows_.where("n_shingles > 0 and doc_id is not null").join(reps.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
-    members = scratch.write(first.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "hash")).distinct(), "members")
-    buckets = members.groupBy("band", "hash").agg(F.min("v").alias("lead"), F.count("*").alias("size")).where("size > 1").select("band", "hash", "lead")
-    stars = members.join(buckets, ["band", "hash"]).where("v <> lead").select(F.col("lead").alias("a"), F.col("v").alias("b")).distinct()
-    stars = scratch.write(stars, "stars")
+    whole = rows_.where("n_shingles > 0 and doc_id is not null")
+    reps = scratch.write(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
+    first = whole.join(reps.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
+    members = first.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "hash"))
+    members = scratch.write(members, "members")
+    sizes = members.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1")
+    shared = members.join(sizes, ["band", "hash"]).select("band", "hash", "v", "n", "size").distinct()
+    shared = scratch.write(shared, "shared")
+    scratch.drop("members")
+    meets = shared.groupBy("v").agg(F.sum("size").alias("meets"))
+    shared = scratch.write(shared.drop("size").join(meets, "v"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    want = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # a bucket without stars has no second member, so these sets serve both rounds
-    digests = rows_.select("doc_id", "d1", "d2")
-    sets = scratch.write(shingle_sets(texts.join(want, "doc_id", "left_semi"), width).where("n_shingles > 0"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("n_shingles").alias("na"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("n_shingles").alias("nb"))
-        size = sets.select("doc_id", F.col("n_shingles").alias("n"))
-        near = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        both = near.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-        return both.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b").distinct()
-
-    links = scratch.write(verified(stars), "links-1")
-    comps = connected_components(links, scratch, "first")
-    named = members.join(comps, "v", "left").select("band", "hash", "v", F.coalesce("comp", "v").alias("comp"))
-    open_ = named.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "hash")
-    rest = scratch.write(named.join(open_, ["band", "hash"]), "rest")
-    x, y = rest.select("band", "hash", F.col("v").alias("a"), F.col("comp").alias("ca")), rest.select("band", "hash", F.col("v").alias("b"), F.col("comp").alias("cb"))
-    across = x.join(y, ["band", "hash"]).where("ca < cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.write(verified(across), "links-2")
-    if not more.isEmpty():
-        comps = connected_components(links.unionAll(more), scratch, "second")
+    alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs (a, b) whose full sets are similar enough."""
+        pairs = scratch.write(pairs, f"pairs-{name}")
+        want = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = scratch.write(shingle_sets(texts.join(want, "doc_id", "left_semi"), width).where("n_shingles > 0"), f"sets-{name}")
+        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+        both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        links = scratch.write(both.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b").distinct(), f"links-{name}")
+        scratch.drop(f"sets-{name}")
+        return links
+
+    links, comps, led = None, None, None
+    for r in range(leads + 1):
+        if comps is None:
+            named = shared.withColumn("comp", F.col("v"))
+        else:
+            named = shared.join(comps, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        open_ = named.groupBy("band", "hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "hash")
+        named = scratch.write(named.join(open_, ["band", "hash"]), f"open-{r}")
+        if named.isEmpty():
+            break
+        x = named.select("band", "hash", F.col("v").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+        y = named.select("band", "hash", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        if r < leads:
+            fresh = named
+            if led is not None:
+                used = led.join(named.select("band", "hash", F.col("v").alias("a"), "comp"), ["band", "hash", "a"]).select("band", "hash", "comp").distinct()
+                fresh = named.join(used, ["band", "hash", "comp"], "left_anti")
+            new = fresh.groupBy("band", "hash").agg(F.max(F.struct("meets", -F.col("v"))).alias("m")).select("band", "hash", (-F.col("m.col2")).alias("a"))
+            new = scratch.write(new, f"lead-{r}")
+            led = new if led is None else led.unionAll(new)
+            x = x.join(new, ["band", "hash", "a"], "left_semi")
+            pairs = y.join(x, ["band", "hash"]).where((F.col("ca") != F.col("cb")) & F.expr(alike))
+        else:
+            groups = named.select("band", "hash", "comp").distinct()
+            two = groups.toDF("band", "hash", "ca").join(groups.toDF("band", "hash", "cb"), ["band", "hash"]).where("ca < cb")
+            pairs = x.join(two, ["band", "hash", "ca"]).join(y, ["band", "hash", "cb"]).where(alike)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = verified(pairs, str(r))
+        if not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
+            comps = connected_components(links, scratch, f"comps-{r}")
+    if comps is None:
+        comps = spark.createDataFrame([], "v long, comp long")
     final = reps.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = rows_.join(final, ["d1", "d2"], "left")
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
