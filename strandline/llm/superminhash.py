@@ -12,13 +12,15 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHasher, chunks, mix, odd_constants, text_buffer
 from .components import connected_components
 
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
 SETS = "doc_id long, n_shingles long, shingles array<long>"
 
 
@@ -90,8 +92,8 @@ def superminhash(sets: list, slots: int, block: int = 1 << 17):
     return out
 
 
-def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """Set size, a 128-bit digest of the set and a hash of each band, for every row."""
+def signatures(docs: DataFrame, width: int, bands: int, rows: int, slots: int) -> DataFrame:
+    """Set size, a 128-bit digest of the set, a hash of each band, and four bits of each slot, for every row."""
 
     def run(batches):
         import numpy as np
@@ -103,13 +105,16 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             sets = list(document_sets(hasher, batch.column(1), width))
             for at in range(0, len(sets), 512):
                 part = sets[at : at + 512]
-                sig = superminhash(part, bands * rows)
-                keys = mix((sig * salts).reshape(len(part), bands, rows).sum(axis=2, dtype=np.uint64))
+                sig = superminhash(part, slots)
+                keys = mix((sig[:, : bands * rows] * salts).reshape(len(part), bands, rows).sum(axis=2, dtype=np.uint64))
+                nibbles = (mix(sig) >> np.uint64(60)).reshape(len(part), slots // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+                sketch = nibbles.sum(axis=2, dtype=np.uint64)
                 digest = [[int(mix(s + np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)) for s in part] for k in (1, 2)]
                 listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.reshape(-1).view(np.int64))
+                packed = pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, slots // 16, dtype=np.int32), sketch.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(digest[0], pa.int64()), pa.array(digest[1], pa.int64()), listed],
-                    ["doc_id", "n_shingles", "d1", "d2", "bands"],
+                    [batch.column(0).slice(at, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(digest[0], pa.int64()), pa.array(digest[1], pa.int64()), listed, packed],
+                    ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
@@ -134,7 +139,18 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, leads: int = 3) -> DataFrame:
+def differing_slots(a: str, b: str, longs: int) -> Column:
+    """Slots whose four bits differ, of two sketches."""
+    total = F.lit(0)
+    for i in range(longs):
+        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        total = total + F.bit_count(x)
+    return total
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, slots: int = 256, leads: int = 2) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     Documents with equal sets collapse to their least doc_id. Representatives meet in buckets of equal
@@ -146,7 +162,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows_ = scratch.write(signatures(docs, width, bands, rows), "signatures")
+    rows_ = scratch.write(signatures(docs, width, bands, rows, slots), "signatures")
     whole = rows_.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.write(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     first = whole.join(reps.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
@@ -157,9 +173,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     shared = scratch.write(shared, "shared")
     scratch.drop("members")
     meets = shared.groupBy("v").agg(F.sum("size").alias("meets"))
-    shared = scratch.write(shared.drop("size").join(meets, "v"), "buckets")
+    sketches = first.select(F.col("doc_id").alias("v"), "sketch").dropDuplicates(["v"])
+    shared = scratch.write(shared.drop("size").join(meets.join(sketches, "v"), "v"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    differ = (1 - percent / 100) * 15 / 16
+    most = math.ceil(slots * differ + 6 * math.sqrt(slots * differ * (1 - differ)))
+    alike = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (differing_slots("ka", "kb", slots // 16) <= most)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough."""
@@ -183,8 +202,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         named = scratch.write(named.join(open_, ["band", "hash"]), f"open-{r}")
         if named.isEmpty():
             break
-        x = named.select("band", "hash", F.col("v").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = named.select("band", "hash", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+        x = named.select("band", "hash", F.col("v").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("sketch").alias("ka"))
+        y = named.select("band", "hash", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("sketch").alias("kb"))
         if r < leads:
             fresh = named
             if led is not None:
@@ -194,11 +213,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
             new = scratch.write(new, f"lead-{r}")
             led = new if led is None else led.unionAll(new)
             x = x.join(new, ["band", "hash", "a"], "left_semi")
-            pairs = y.join(x, ["band", "hash"]).where((F.col("ca") != F.col("cb")) & F.expr(alike))
+            pairs = y.join(x, ["band", "hash"]).where((F.col("ca") != F.col("cb")) & alike)
         else:
-            groups = named.select("band", "hash", "comp").distinct()
-            two = groups.toDF("band", "hash", "ca").join(groups.toDF("band", "hash", "cb"), ["band", "hash"]).where("ca < cb")
-            pairs = x.join(two, ["band", "hash", "ca"]).join(y, ["band", "hash", "cb"]).where(alike)
+            pairs = x.join(y, ["band", "hash"]).where((F.col("ca") < F.col("cb")) & alike)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(pairs, str(r))
         if not new.isEmpty():
