@@ -12,6 +12,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ def document_sets(hasher, column, width: int):
                 yield np.zeros(0, np.uint64)
 
 
-def superminhash(sets: list, slots: int, block: int = 1 << 17):
+def superminhash(sets: list, slots: int, block: int = 1 << 15):
     """Signatures (documents x slots) of sets of 64-bit hashes; the top byte of a value is its step."""
     import numpy as np
 
@@ -84,7 +85,7 @@ def superminhash(sets: list, slots: int, block: int = 1 << 17):
                 stay = unfilled[doc - i]
                 x, doc = x[stay], doc[stay]
                 if order is None:
-                    order = np.tile(np.arange(slots, dtype=np.uint16), (len(x), 1))
+                    order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(x), 1))
                     order[np.arange(len(x)), first[stay]] = 0
                 elif not stay.all():
                     order = order[stay]
@@ -102,9 +103,8 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, slots: int) -
         hasher = WordHasher("space")
         salts = odd_constants(bands * rows, 9)
         for batch in batches:
-            sets = list(document_sets(hasher, batch.column(1), width))
-            for at in range(0, len(sets), 512):
-                part = sets[at : at + 512]
+            sets, at = document_sets(hasher, batch.column(1), width), 0
+            while part := list(itertools.islice(sets, 256)):
                 sig = superminhash(part, slots)
                 keys = mix((sig[:, : bands * rows] * salts).reshape(len(part), bands, rows).sum(axis=2, dtype=np.uint64))
                 nibbles = (mix(sig) >> np.uint64(60)).reshape(len(part), slots // 16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, slots: int) -
                     [batch.column(0).slice(at, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(digest[0], pa.int64()), pa.array(digest[1], pa.int64()), listed, packed],
                     ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
+                at += len(part)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
@@ -129,12 +130,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
         hasher = WordHasher("space")
         for batch in batches:
-            sets = list(document_sets(hasher, batch.column(1), width))
-            for at in range(0, len(sets), 256):
-                part = sets[at : at + 256]
+            sets, at = document_sets(hasher, batch.column(1), width), 0
+            while part := list(itertools.islice(sets, 256)):
                 ends = np.r_[0, np.cumsum([len(s) for s in part])].astype(np.int32)
                 listed = pa.ListArray.from_arrays(ends, np.concatenate(part).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(s) for s in part], pa.int64()), listed], ["doc_id", "n_shingles", "shingles"])
+                at += len(part)
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
