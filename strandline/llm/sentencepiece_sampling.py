@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, odd_constants, once
+from .common import mix, odd_constants, once, text_buffer
 
 BLOCK_CHARS = 3 << 20
 MARK = 0x2581
@@ -109,9 +109,12 @@ class Lattices:
     Options of node v are option[first[v]:first[v + 1]]: end node, piece (or -1 - code point), probability.
     """
 
-    def __init__(self, vocabulary: Vocabulary, words: list[str]) -> None:
-        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        size = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))  # with the space mark
+    def __init__(self, vocabulary: Vocabulary, words, size: np.ndarray) -> None:
+        """words: an Arrow array of strings; size: their code points."""
+        raw, starts, ends = text_buffer(words)
+        text = raw[starts[0] : ends[-1]].tobytes().decode() if len(words) else ""
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        size = size + 1  # with the space mark
         self.root = np.r_[0, np.cumsum(size + 1)][:-1]  # each word has an end node
         nodes = int((size + 1).sum())
         self.end = np.repeat(self.root + size, size + 1)
@@ -138,7 +141,7 @@ class Lattices:
         count[bare] += 1
         self.first = np.r_[0, np.cumsum(count[:-1])]
         total = int(self.first[-1])
-        self.to, self.piece, score = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total)
+        self.to, self.piece, score = np.zeros(total, np.int32), np.zeros(total, np.int32), np.zeros(total)
         fill = self.first[:-1].copy()
         for at, length, k in reversed(found):  # the longest first: it is the likeliest
             o = fill[at]
@@ -207,17 +210,13 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def truncated_gumbel(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables with location phi, given that they are at most bound."""
-    return -np.logaddexp(-bound, np.log(-np.log(u)) - phi)
-
-
 def sample_texts(lattice: Lattices, texts: list, keys: np.ndarray, k: int) -> list:
     """For each text, the k best perturbed segmentations and the next bound.
 
     texts: the word numbers of each text. A segmentation is (options, log_prob, perturbed, words' places);
     a heap entry is (-perturbed, tie, parent, place of the first new option, options excluded there). Every
-    text pops its best set in each round; the new segmentations of all texts are drawn together.
+    text pops its best set in each round; the new segmentations of all texts are drawn together. A Gumbel
+    variable with location phi that is at most g is -log(exp(-g) + E exp(-phi)), E standard exponential.
     """
     salts, step = odd_constants(4, 41), np.uint64(0xD1342543DE82EF95)
     numbers = odd_constants(k, 43)
@@ -263,26 +262,31 @@ def sample_texts(lattice: Lattices, texts: list, keys: np.ndarray, k: int) -> li
         left[lattice.alone[flat] | (left < 1e-13)] = 0.0
         ends = np.cumsum([len(m[5]) for m in made])
         total = np.r_[0.0, np.cumsum(logp)]
+        # a set's perturbed value falls with its exponential race time, -log(u) / mass
+        size = np.array([len(m[5]) for m in made])
+        within = np.arange(len(flat)) - np.repeat(ends - size, size)
+        u = uniform(np.repeat(salt[[m[0] for m in made]], size) + salts[3] * (within + 1).astype(np.uint64))
         with np.errstate(divide="ignore"):
-            rest = np.log(left)
-        for (d, g, place, excluded, _, options, slot), end in zip(made, ends, strict=True):
+            phi_all = total[:-1] + np.log(left)
+            race_all = np.log(-np.log(u)) - phi_all
+        for (d, g, place, excluded, _, options, slot), end in zip(made, ends.tolist(), strict=True):
             first = end - len(options)
             number = len(out[d])
             out[d].append((options, float(total[end] - total[first]), g, slot))
             # the rest of the popped set, cut by the first place where a member leaves this segmentation
-            phi = total[first + place : end] - total[first] + rest[first + place : end]
+            race = race_all[first + place : end]
             if excluded:
                 a, b = lattice.span(options[place])
                 held = sum(float(lattice.prob[o]) for o in range(a, b) if o not in excluded and o != options[place])
-                phi[0] = total[first + place] - total[first] + np.log(held) if held > 1e-13 else -np.inf
+                race[0] = np.log(-np.log(u[first + place])) - (total[first + place] + np.log(held)) if held > 1e-13 else np.inf
             want = k - number
-            if not len(phi):
+            if not len(race):
                 continue
-            bound = truncated_gumbel(phi, g, uniform(salt[d] + salts[3] * np.arange(1, len(phi) + 1, dtype=np.uint64)))
-            best = np.argpartition(-bound, want - 1)[:want] if len(bound) > want else np.arange(len(bound))
+            best = np.argpartition(race, want - 1)[:want] if len(race) > want else np.arange(len(race))
             for q in best.tolist():
-                if phi[q] > -np.inf:
-                    heapq.heappush(heaps[d], (-float(bound[q]), place + q, number, place + q, (*(excluded if q == 0 else ()), int(options[place + q]))))
+                if race[q] < np.inf:
+                    bound = -float(np.logaddexp(-g, race[q] + total[first]))
+                    heapq.heappush(heaps[d], (-bound, place + q, number, place + q, (*(excluded if q == 0 else ()), int(options[place + q]))))
     return [(found, -heap[0][0] if heap else -np.inf) for found, heap in zip(out, heaps, strict=True)]
 
 
@@ -315,46 +319,58 @@ def encode_samples(docs: DataFrame, key: Column, samples: int = 3, alpha: float
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         vocabulary = once((path, alpha), lambda: Vocabulary(path, alpha))
         for batch in batches:
-            texts, keys = batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()
+            column, keys = batch.column(text_at), np.asarray(batch.column(len(names)), np.int64)
+            long_ = np.where(np.asarray(pc.is_null(column)), 0, np.asarray(pc.fill_null(pc.utf8_length(column), 0)))
+            total = np.cumsum(long_)
             i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or "") <= BLOCK_CHARS):
-                    size += len(texts[j] or "")
-                    j += 1
-                number: dict[str, int] = {}
-                coded = [None if t is None else np.array([number.setdefault(w, len(number)) for w in t.split(" ")] if t else [], np.int64) for t in texts[i:j]]
-                lattice = Lattices(vocabulary, list(number))
-                ids, logp, pert, incl, per, good = [], [], [], [], [0], []
-                there = [x for x in coded if x is not None]
-                key_ = np.array([v for v, x in zip(keys[i:j], coded, strict=True) if x is not None], np.int64).view(np.uint64)
-                drawn = iter(sample_texts(lattice, there, key_, samples) if there else [])
-                for t, words in zip(texts[i:j], coded, strict=True):
-                    found, bound = ([], 0.0) if words is None else next(drawn)
-                    fine = True
-                    for options, total, g, _ in found:
-                        one = to_ids(vocabulary, lattice, options)
-                        ids.append(one)
-                        logp.append(total)
+            while i < len(column):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK_CHARS, side="right")))
+                part = column.slice(i, j - i)
+                null = np.asarray(pc.is_null(part))
+                split = pc.split_pattern(part, " ")
+                counts = np.where(long_[i:j] == 0, 0, np.asarray(pc.fill_null(pc.list_value_length(split), 0)))
+                words = split.filter(pa.array(long_[i:j] > 0)).flatten().dictionary_encode()
+                numbers = np.asarray(words.indices, np.int64)
+                coded = np.split(numbers, np.cumsum(counts)[:-1])
+                lattice = Lattices(vocabulary, words.dictionary, np.asarray(pc.utf8_length(words.dictionary), np.int64))
+                drawn = sample_texts(lattice, coded, keys[i:j].view(np.uint64), samples)
+                ids, logp, pert, incl, per = [], [], [], [], [0]
+                for (found, bound), gone in zip(drawn, null.tolist(), strict=True):
+                    for options, log_prob, g, _ in [] if gone else found:
+                        ids.append(to_ids(vocabulary, lattice, options))
+                        logp.append(log_prob)
                         pert.append(g)
-                        incl.append(1.0 if bound == -np.inf else float(-np.expm1(-np.exp(min(700.0, total - bound)))))
-                        if verify:
-                            fine = fine and decode(vocabulary.out, one.tolist()) == t
+                        incl.append(1.0 if bound == -np.inf else float(-np.expm1(-np.exp(min(700.0, log_prob - bound)))))
                     per.append(len(ids))
-                    good.append(fine)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                listed = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32), flat)
-                structs = pa.StructArray.from_arrays([listed, pa.array(logp, pa.float64()), pa.array(pert, pa.float64()), pa.array(incl, pa.float64())], ["ids", "log_prob", "perturbed", "inclusion"])
+                flat, cut = np.concatenate(ids) if ids else np.zeros(0, np.int32), np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
+                structs = pa.StructArray.from_arrays([pa.ListArray.from_arrays(cut, flat), pa.array(logp, pa.float64()), pa.array(pert, pa.float64()), pa.array(incl, pa.float64())], ["ids", "log_prob", "perturbed", "inclusion"])
                 arrays = [c.slice(i, j - i) for c in batch.columns[: len(names)]] + [pa.ListArray.from_arrays(np.array(per, np.int32), structs)]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(good, pa.bool_())] if verify else [])], [*names, *extra.names])
+                if verify:
+                    arrays.append(pa.array(round_trips(vocabulary, flat, cut, per, part), pa.bool_()))
+                yield pa.RecordBatch.from_arrays(arrays, [*names, *extra.names])
                 i = j
 
     return keyed.mapInArrow(run, T.StructType([*fields, *extra.fields])).toDF(*columns, *extra.names)
 
 
+def round_trips(vocabulary: Vocabulary, flat: np.ndarray, cut: np.ndarray, per: list[int], texts) -> list[bool]:
+    """Whether all samples of each text decode to it, byte for byte."""
+    import pyarrow as pa
+
+    raw, starts, ends = text_buffer(texts)
+    pieces = pa.array(vocabulary.out, pa.binary()).take(pa.array(flat))
+    off = np.frombuffer(pieces.buffers()[1], np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    data, out = memoryview(pieces.buffers()[2].to_pybytes() if pieces.buffers()[2] else b""), []
+    for d in range(len(texts)):
+        text = raw[starts[d] : ends[d]].tobytes()
+        out.append(all(bytes(data[off[cut[k]] + 1 : off[cut[k + 1]]]) == text if cut[k + 1] > cut[k] else not text for k in range(per[d], per[d + 1])))
+    return out
+
+
 def decode(out: list[bytes], ids: list[int]) -> str:
     """The text of piece ids; the space mark that encoding adds in front is taken off."""
     return b"".join([out[i] for i in ids])[1:].decode("utf-8", "replace")
