@@ -42,10 +42,16 @@ BANDS = 24
 MAX_TEMPLATE_SHINGLES = 50_000
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of the five-word shingles of a text, in order; words are runs of letters and digits, lower-cased."""
-    words = F.filter(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
-    return words, F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - WIDTH, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, WIDTH))))
+def shingled(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """df's columns ``keep`` and h, the hashes of the five-word shingles of a text, in order.
+
+    Words are runs of letters and digits, lower-cased. Generators hold the words and the hashes, as an
+    expression within a lambda would be computed again for each element.
+    """
+    split = F.filter(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
+    words = df.select(*keep, F.explode(F.array(split)).alias("words"))
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - WIDTH, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("words"), i + 1, WIDTH)))
+    return words.select(*keep, F.explode(F.array(F.when(F.size("words") == 0, F.array().cast("array<bigint>")).otherwise(hashes))).alias("h"))
 
 
 def band_keys(shingles: Column) -> Column:
@@ -57,8 +63,7 @@ def band_keys(shingles: Column) -> Column:
 def template_table(spark: SparkSession, templates: dict[str, str]) -> list:
     """(name, shingles, bands) of each template, computed by the same expressions; bounded by its check."""
     df = spark.createDataFrame(list(templates.items()), "name string, text string")
-    words, hashes = shingle_hashes(F.col("text"))
-    rows = df.select("name", F.array_distinct(hashes).alias("h"), F.size(hashes).alias("n")).select("name", "h", "n", band_keys(F.col("h")).alias("b")).collect()
+    rows = shingled(df, F.col("text"), "name").select("name", F.array_distinct("h").alias("h")).select("name", "h", band_keys(F.col("h")).alias("b")).collect()
     if sum(len(r["h"]) for r in rows) > MAX_TEMPLATE_SHINGLES:
         raise ValueError("too many template shingles for one call")
     return [r for r in rows if r["h"]]
@@ -85,9 +90,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     table = template_table(docs.sparkSession, templates or TEMPLATES)
     kind = "array<struct<name:string,containment:double,start:int,end:int>>"
     every = F.array(*[F.lit(x) for x in sorted({x for r in table for x in r["h"]})]) if table else F.array().cast("array<bigint>")
-    _, hashes = shingle_hashes(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    # a generator keeps the hashes from being computed again by each use
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(hashes)).alias("h"))
+    read = shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), F.col("text"), "doc_id")
     read = read.select("doc_id", F.explode(F.array(F.when(F.arrays_overlap("h", every), F.col("h")).otherwise(F.array().cast("array<bigint>")))).alias("h"))
     classes: dict[int, list] = {}
     for r in table:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import mix, odd_constants, once, text_buffer
 
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 5 << 19
 MARK = 0x2581
 SAMPLES = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
 
@@ -117,13 +117,13 @@ class Lattices:
         size = size + 1  # with the space mark
         self.root = np.r_[0, np.cumsum(size + 1)][:-1]  # each word has an end node
         nodes = int((size + 1).sum())
-        self.end = np.repeat(self.root + size, size + 1)
+        end = np.repeat(self.root + size, size + 1)
         cp = np.zeros(nodes, np.uint64)
         inner = np.ones(nodes, bool)
         inner[self.root] = inner[self.root + size] = False
         cp[inner] = np.where(code == MARK, np.uint64(MARK + 0x110000), code)
         cp[self.root] = MARK
-        left = self.end - np.arange(nodes)
+        left = end - np.arange(nodes)
         place, h, found = np.flatnonzero(left > 0), np.zeros(nodes, np.uint64), []
         for length in range(1, vocabulary.longest + 1):
             place = place[left[place] >= length]
@@ -154,7 +154,7 @@ class Lattices:
         self.piece[o] = np.where(width == 1, vocabulary.bytes[np.minimum(point, 255).astype(np.int64)], -1 - point.astype(np.int64))
         # log-sums of completions, from the ends of all words at once
         beta = np.zeros(nodes)
-        by = np.argsort(left.astype(np.int32), kind="stable")
+        by = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         cut = np.searchsorted(left[by], np.arange(1, int(left.max(initial=0)) + 2))
         for d in range(len(cut) - 1):
             v = by[cut[d] : cut[d + 1]]
@@ -166,9 +166,11 @@ class Lattices:
             x = score[o] + beta[self.to[o]]
             top = np.maximum.reduceat(x, heads)
             beta[v] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), heads))
-        start = np.repeat(np.arange(nodes), count[:-1])
-        self.prob = np.exp(score + beta[self.to] - beta[start])
-        self.alone = (count[:-1] == 1)[start]  # options without another at their node
+        score += beta[self.to]
+        score -= np.repeat(beta, count[:-1])
+        self.prob = np.exp(score, out=score)
+        self.alone = np.repeat(count[:-1] == 1, count[:-1])  # options without another at their node
+        self.over = left == 0
 
     def span(self, option: int) -> tuple[int, int]:
         """The options of an option's node."""
@@ -188,21 +190,21 @@ class Lattices:
 
     def paths(self, node: np.ndarray, seed: np.ndarray):
         """Samples a completion of each node; (owner, option) of all steps, in order of owner and step."""
-        owner, opts, live, step = [], [], np.flatnonzero(node != self.end[node]), 0
-        node = node.copy()
+        steps, live = [], np.flatnonzero(~self.over[node])
+        count, at = np.zeros(len(node), np.int64), node[live]
         while len(live):
-            u = (mix(seed[live] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            o = self.choose(node[live], u)
-            owner.append(live)
-            opts.append(o)
-            node[live] = self.to[o]
-            live = live[node[live] != self.end[node[live]]]
-            step += 1
-        if not owner:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        who = np.concatenate(owner)
-        order = np.argsort(who, kind="stable")
-        return who[order], np.concatenate(opts)[order]
+            u = (mix(seed[live] + np.uint64(len(steps) + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            o = self.choose(at, u)
+            count[live] += 1
+            steps.append((live, o))
+            at = self.to[o]
+            go = ~self.over[at]
+            live, at = live[go], at[go]
+        begin = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int64)
+        for k, (live, o) in enumerate(steps):
+            out[begin[live] + k] = o
+        return np.repeat(np.arange(len(node)), count), out
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
