@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import mix, odd_constants, once, text_buffer
 
-BLOCK_CHARS = 5 << 19
+BLOCK_CHARS = 3 << 19
 MARK = 0x2581
 SAMPLES = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
 
