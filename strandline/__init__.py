@@ -1 +1,3 @@
-"""."""
+"""A Spark engine for time-coded, speaker-labelled text."""
+
+__version__ = "0.1.0"

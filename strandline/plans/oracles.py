@@ -1 +1,97 @@
-ORACLE = {}
+"""SQL for the registered queries, to be run by DuckDB over the same tables."""
+
+SEG = """seg0 AS (SELECT conv_id AS doc_id, turn AS position, role AS speaker_id, coalesce(text, '') AS text, 50 * length(coalesce(text, '')) AS dur,
+ (turn * 137 + conv_id * 71) % 900 - 100 AS gap FROM conversations),
+seg AS (SELECT doc_id, position, speaker_id, text, CAST(coalesce(sum(dur + gap) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s, dur FROM seg0),
+segments AS (SELECT doc_id, position, speaker_id, text, s AS "start", s + dur AS "end" FROM seg)"""
+WORDS = SEG + """,
+w0 AS (SELECT doc_id, position, speaker_id, "start" AS s0, unnest(regexp_split_to_array(text, '[ \n]+')) AS text, generate_subscripts(regexp_split_to_array(text, '[ \n]+'), 1) - 1 AS word_idx FROM segments),
+w1 AS (SELECT doc_id, position, speaker_id, word_idx, text, CAST(s0 + 50 * coalesce(sum(length(text)) OVER (PARTITION BY doc_id, position ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start" FROM w0 WHERE text <> ''),
+words AS (SELECT *, "start" + 50 * length(text) AS "end" FROM w1)"""
+TURNS = """turns AS (SELECT doc_id, position AS turn_idx, speaker_id, "start" + (doc_id * 31) % 400 AS t_start, "end" + (doc_id * 31) % 400 AS t_end FROM segments)"""
+ASSIGN = WORDS + ", " + TURNS + """,
+met AS (SELECT w.doc_id, w.position, w.word_idx, t.speaker_id AS sp, sum(least(w."end", t.t_end) - greatest(w."start", t.t_start)) AS o, min(t.turn_idx) AS f FROM words w JOIN turns t ON w.doc_id = t.doc_id AND w."start" < t.t_end AND t.t_start < w."end" AND least(w."end", t.t_end) > greatest(w."start", t.t_start) GROUP BY ALL),
+best AS (SELECT doc_id, position, word_idx, sp FROM met QUALIFY row_number() OVER (PARTITION BY doc_id, position, word_idx ORDER BY o DESC, f) = 1),
+assigned AS (SELECT w.*, coalesce(b.sp, w.speaker_id) AS assigned FROM words w LEFT JOIN best b USING (doc_id, position, word_idx))"""
+CUES = SEG + """,
+l0 AS (SELECT doc_id, position, speaker_id, text AS whole, "start" AS s0, "end" AS e0, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM segments),
+l1 AS (SELECT doc_id, position, i, text, s0 + i * 10 AS "start", s0 + i * 10 + 10 AS "end", speaker_id FROM l0 WHERE text <> ''
+ UNION ALL SELECT doc_id, position, 0, text, "start", "end", speaker_id FROM segments WHERE replace(text, chr(10), '') = ''),
+cues AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position, i) AS "index", "start", "end", speaker_id, text FROM l1)"""
+MERGED = CUES + """,
+e0 AS (SELECT *, coalesce((lead("start") OVER w) - "end" BETWEEN 0 AND 350 AND length(text) + length(lead(text) OVER w) <= 1500 AND NOT regexp_matches(text, '(\\?|ion\\.)$') AND speaker_id IS NOT DISTINCT FROM (lead(speaker_id) OVER w) AND (lead("start") OVER w) IS NOT NULL, false) AS e FROM cues WINDOW w AS (PARTITION BY doc_id ORDER BY "index")),
+e1 AS (SELECT *, coalesce(sum(CASE WHEN e THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY "index" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM e0),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, r ORDER BY "index") % 2 AS head FROM e1),
+e3 AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY "index") AS pair FROM e2),
+e4 AS (SELECT doc_id, pair, min("start") AS "start", max_by("end", "index") AS "end", min_by(speaker_id, "index") AS speaker_id, string_agg(text, '' ORDER BY "index") AS text FROM e3 GROUP BY ALL),
+merged AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pair) AS "index", "start", "end", speaker_id, text FROM e4)"""
+WSP = r"[\s\x{3000}\x{a0}\x1c-\x1f]"
+
+
+def readable(x: str) -> str:
+    y = f"regexp_replace({x}, '^{WSP}+|{WSP}+$', '', 'g')"
+    for a, b in ((",", "、"), ("，", "、"), (".", "。"), ("．", "。")):
+        y = f"replace({y}, '{a}', '{b}')"
+    y = f"regexp_replace({y}, '{WSP}+', ' ', 'g')"
+    return y
+
+
+def opened(y: str) -> str:
+    out = f"CASE WHEN regexp_matches({y}, '^(The of|De la)') THEN {y} "
+    for m in ("The", "De", "La"):
+        out += f"WHEN starts_with({y}, '{m}') THEN CASE WHEN substr({y}, {len(m) + 1}) = '' OR starts_with(substr({y}, {len(m) + 1}), '、') THEN {y} ELSE '{m}、' || substr({y}, {len(m) + 1}) END "
+    return out + f"ELSE {y} END"
+
+
+def squeezed(y: str) -> str:
+    for m in "。、？！":
+        y = f"regexp_replace({y}, '{m}+', '{m}', 'g')"
+    return y
+
+
+def srt(ms: str) -> str:
+    return f"printf('%02d:%02d:%02d,%03d', {ms} // 3600000, ({ms} // 60000) % 60, ({ms} // 1000) % 60, {ms} % 1000)"
+
+
+LEX = """lex0 AS (SELECT surface, count(*) AS n, regexp_replace(surface, '[aeiou]', '', 'g') AS reading FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS surface FROM benchmark) WHERE length(surface) >= 3 GROUP BY ALL),
+lex AS (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY surface) AS ord FROM lex0 WHERE reading <> '')"""
+FLAG = MERGED + f", r1 AS (SELECT * REPLACE ({readable('text')} AS text) FROM merged), r2 AS (SELECT * REPLACE ({opened('text')} AS text) FROM r1), fin AS (SELECT * REPLACE ({squeezed('text')} AS text) FROM r2)"
+
+ORACLE = {
+    "seg_timeline": f'WITH {SEG} SELECT doc_id, position, "start", "end", "end" - "start" AS duration FROM segments',
+    "win_neighbors": f"WITH {SEG} SELECT doc_id, position, length(lag(text, 1, '') OVER w) AS prev_len, length(lead(text, 1, '') OVER w) AS next_len FROM segments WINDOW w AS (PARTITION BY doc_id ORDER BY position)",
+    "win_runs": "WITH c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR event_type IS NOT DISTINCT FROM lag(event_type) OVER w THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT user_id, CAST(run AS BIGINT) AS run, event_type, count(*) AS n, min(event_id) AS first_event FROM r GROUP BY ALL",
+    "win_islands": f"""WITH {SEG}, t AS (SELECT *, CASE WHEN coalesce("start" - lag("end") OVER w BETWEEN 0 AND 200 AND NOT regexp_matches(lag(text) OVER w, '\\?[」』）)】］\\]〉》\\s]*$') AND regexp_matches(text, '^\\s*(the|de|la|De|The|La|A|Er|An|In|Th)'), false) THEN 0 ELSE 1 END AS c FROM segments WINDOW w AS (PARTITION BY doc_id ORDER BY position)), g AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY position ROWS UNBOUNDED PRECEDING) - 1 AS island FROM t) SELECT doc_id, CAST(island AS BIGINT) AS position, min_by("start", position) AS "start", max_by("end", position) AS "end", CAST(sum(length(text)) AS BIGINT) AS chars FROM g GROUP BY doc_id, island""",
+    "win_pair_merge": f'WITH {MERGED} SELECT doc_id, "index", "start", "end", speaker_id, length(text) AS chars FROM merged',
+    "win_echo": f"""WITH {WORDS}, f AS (SELECT doc_id, position, count(*) AS n, min_by(text, word_idx) AS echo, string_agg(text, '' ORDER BY word_idx) AS all_text FROM words GROUP BY ALL), z AS (SELECT doc_id, position, "start" AS s2 FROM words QUALIFY row_number() OVER (PARTITION BY doc_id, position ORDER BY word_idx) = 2), j AS (SELECT s.doc_id, s.position, s.text, s."start", f.n, f.echo, f.all_text, z.s2, lag(regexp_replace(s.text, '\\s', '', 'g')) OVER (PARTITION BY s.doc_id ORDER BY s.position) AS before FROM segments s JOIN f USING (doc_id, position) LEFT JOIN z USING (doc_id, position)), h AS (SELECT *, coalesce(n > 1 AND ends_with(before, echo) AND starts_with(regexp_replace(text, '\\s', '', 'g'), echo), false) AS hit FROM j) SELECT doc_id, position, CASE WHEN hit THEN s2 ELSE "start" END AS "start", CASE WHEN hit THEN length(all_text) - length(echo) ELSE length(text) END AS chars, hit AS echo_removed FROM h""",
+    "win_commas": f"WITH {SEG} SELECT doc_id, position, CASE WHEN lead(1) OVER w IS NOT NULL AND regexp_matches(regexp_replace(text, '\\s', '', 'g'), '(n\\.|e\\.|s\\.)$') THEN length(rtrim(text, ' ')) + 1 ELSE length(text) END AS chars FROM segments WINDOW w AS (PARTITION BY doc_id ORDER BY position)",
+    "str_readability": f"WITH {SEG}, r1 AS (SELECT doc_id, position, {readable('text')} AS text FROM segments), r2 AS (SELECT doc_id, position, {opened('text')} AS text FROM r1) SELECT doc_id, position, {squeezed('text')} AS text FROM r2",
+    "fmt_srt": f"""WITH {SEG} SELECT doc_id, position, (position + 1) || chr(10) || {srt('"start"')} || ' --> ' || {srt('"end"')} || chr(10) || text || chr(10) || chr(10) AS block FROM segments WHERE "start" >= 0 AND "end" >= 0""",
+    "explode_cues": f'WITH {CUES} SELECT doc_id, "index", "start", "end", speaker_id, text FROM cues',
+    "flagship_srt": f"""WITH {FLAG}, o AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, "start" < lag("end") OVER (PARTITION BY doc_id ORDER BY "index") AS bad FROM fin) WHERE bad GROUP BY ALL)
+SELECT doc_id, count(*) AS n_cues, coalesce(any_value(o.n), 0) AS n_issues, CAST(sum(CASE WHEN "start" < 0 OR "end" < 0 THEN 0 ELSE length(CAST("index" AS VARCHAR)) + length({srt('"start"')}) + length({srt('"end"')}) + length(text) + 9 END) AS BIGINT) AS srt_chars FROM fin LEFT JOIN o USING (doc_id) GROUP BY doc_id""",
+    "union_issues": f"""WITH {SEG}, u AS (SELECT doc_id, position, "start", "end", lag("end") OVER (PARTITION BY doc_id ORDER BY position) AS p FROM segments), k AS (SELECT doc_id, count(DISTINCT position) AS d, count(*) AS n, min(position) AS lo, max(position) AS hi FROM segments GROUP BY ALL)
+SELECT doc_id, 'duplicate_' || x AS code, position AS location FROM (SELECT doc_id, position FROM segments GROUP BY ALL HAVING count(*) > 1), (VALUES ('segment_position'), ('subtitle_index')) v(x)
+UNION ALL SELECT doc_id, 'gap_in_segment_positions', CAST(NULL AS BIGINT) FROM k WHERE NOT (d = n AND lo = 0 AND hi = n - 1)
+UNION ALL SELECT doc_id, 'gap_in_subtitle_indexes', CAST(NULL AS BIGINT) FROM k WHERE NOT (d = n AND lo = 1 AND hi = n)
+UNION ALL SELECT doc_id, 'overlapping_' || x, position FROM u, (VALUES ('segments'), ('subtitles')) v(x) WHERE "start" < p""",
+    "agg_argmax_overlap": f'WITH {ASSIGN} SELECT doc_id, assigned, count(*) AS n_words, min("start") AS first_start FROM assigned GROUP BY ALL',
+    "join_interval": f'WITH {SEG}, {TURNS} SELECT s.doc_id, s.position, t.turn_idx, least(s."end", t.t_end) - greatest(s."start", t.t_start) AS overlap FROM segments s JOIN turns t ON s.doc_id = t.doc_id AND least(s."end", t.t_end) > greatest(s."start", t.t_start)',
+    "win_speaker_runs": f'WITH {ASSIGN}, c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR assigned IS NOT DISTINCT FROM lag(assigned) OVER w THEN 0 ELSE 1 END AS c FROM assigned WINDOW w AS (PARTITION BY doc_id, position ORDER BY word_idx)), r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, position ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT doc_id, position, CAST(run AS BIGINT) AS run, min_by("start", word_idx) AS "start", max_by("end", word_idx) AS "end", any_value(assigned) AS speaker_id FROM r GROUP BY doc_id, position, run',
+    "agg_concat": f"""WITH {WORDS} SELECT doc_id, position, string_agg(text, '' ORDER BY word_idx) AS text, min_by("start", word_idx) AS "start", max_by("end", word_idx) AS "end", CASE WHEN count(DISTINCT speaker_id) = 1 THEN max(speaker_id) END AS speaker_id FROM words GROUP BY doc_id, position""",
+    "agg_contiguity": "SELECT l_orderkey, count(DISTINCT l_linenumber) = count(*) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS contiguous, count(*) - count(DISTINCT l_linenumber) AS repeats FROM lineitem GROUP BY ALL",
+    "topk_prefilter": f"""WITH {WORDS} SELECT doc_id, position, word_idx, row_number() OVER (PARTITION BY doc_id, position ORDER BY coalesce(CASE WHEN length(text) % 3 <> 0 THEN length(text) / 16.0 END, 1.0), coalesce(CASE WHEN word_idx % 5 <> 0 THEN (word_idx % 7) / 8.0 END, 1.0), (unicode(text) % 8) DESC, (length(text) % 4) DESC, "start") AS rank FROM words QUALIFY rank <= 3""",
+    "join_equi_antiself": f"WITH {LEX} SELECT t.surface AS text, c.surface AS candidate, row_number() OVER (PARTITION BY t.surface ORDER BY c.ord) AS rank FROM lex t JOIN lex c ON t.reading = c.reading AND t.surface <> c.surface QUALIFY rank <= 5",
+    "join_prefix": f"""WITH {LEX}, p AS (SELECT surface AS s, reading AS r FROM lex WHERE length(reading) <= 2 AND ord <= 2), t AS (SELECT surface AS text, reading FROM lex WHERE length(reading) BETWEEN 3 AND 4 AND n >= 2),
+c AS (SELECT text, a.s || b.s AS candidate, [{{'n': length(a.r), 's': a.s}}, {{'n': length(b.r), 's': b.s}}] AS path FROM t JOIN p a ON starts_with(reading, a.r) JOIN p b ON reading = a.r || b.r
+UNION ALL SELECT text, a.s || b.s || d.s, [{{'n': length(a.r), 's': a.s}}, {{'n': length(b.r), 's': b.s}}, {{'n': length(d.r), 's': d.s}}] FROM t JOIN p a ON starts_with(reading, a.r) JOIN p b ON starts_with(reading, a.r || b.r) JOIN p d ON reading = a.r || b.r || d.r),
+f AS (SELECT text, candidate, min(path) AS path FROM c WHERE candidate <> text GROUP BY ALL) SELECT text, candidate, row_number() OVER (PARTITION BY text ORDER BY path) AS rank FROM f QUALIFY rank <= 10""",
+    "decide_homophone": f"""WITH {LEX}, c AS (SELECT t.surface AS text, c.surface AS cand, CASE WHEN c.n % 5 <> 0 THEN c.n / 64.0 END AS score, c.ord FROM lex t JOIN lex c ON t.reading = c.reading AND t.surface <> c.surface QUALIFY row_number() OVER (PARTITION BY t.surface ORDER BY c.ord) <= 64),
+b AS (SELECT text, cand, CAST(score AS DOUBLE) AS score FROM c QUALIFY row_number() OVER (PARTITION BY text ORDER BY coalesce(score, 0) DESC, ord) = 1),
+d AS (SELECT lex.surface AS text, b.cand, b.score, CASE WHEN b.cand IS NULL THEN 'no_same_reading_candidate' WHEN b.score IS NULL THEN 'missing_candidate_score' WHEN lex.n % 3 = 0 THEN 'missing_original_score' WHEN b.score <= lex.n / 64.0 THEN 'candidate_not_better_than_original' ELSE 'accepted_same_reading_context' END AS reason FROM lex LEFT JOIN b ON lex.surface = b.text)
+SELECT text, reason, reason = 'accepted_same_reading_context' AS accepted, CASE WHEN reason = 'accepted_same_reading_context' THEN cand ELSE text END AS selected_text, score AS selected_score FROM d""",
+    "stage_latest": "SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS status, max(event_id) AS last_event FROM events GROUP BY ALL",
+    "scan_asr": f"""WITH {WORDS}, b AS (SELECT doc_id, position, min_by("start", word_idx) AS w0, max_by("end", word_idx) AS w1 FROM words GROUP BY ALL) SELECT s.doc_id, s.position, least(s."start" + 30, w0) AS "start", greatest(s."end" - 30, w1) AS "end", row_number() OVER (PARTITION BY s.doc_id ORDER BY s.position) - 1 AS new_position FROM segments s LEFT JOIN b USING (doc_id, position) WHERE trim(replace(s.text, chr(10), '')) <> ''""",
+    "filter_predicates": f"""WITH {SEG} SELECT doc_id, position, (lead("start") OVER w) - "end" AS gap, speaker_id IS DISTINCT FROM (lead(speaker_id) OVER w) AS speaker_boundary, regexp_matches(text, '[.?!][」』）)】］\\]〉》\\s]*$') AS terminal, regexp_matches(text, '^\\s*(de|the|la|un)') AS dependent, regexp_matches(text, '[\\x{{3400}}-\\x{{9fff}}]') AS kanji FROM segments WINDOW w AS (PARTITION BY doc_id ORDER BY position)""",
+    "preflight_duplicates": "SELECT regexp_replace(regexp_replace(trim(p_brand), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS stem, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1",
+}
