@@ -1 +1 @@
-"""."""
+"""The functions of the engine."""

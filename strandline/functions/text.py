@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lexicons as lx
 
@@ -25,7 +26,7 @@ def compact(x: Column) -> Column:
     return F.regexp_replace(x, WS, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(x):
     import unicodedata
 

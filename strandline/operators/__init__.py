@@ -1 +1 @@
-"""."""
+"""The operators of the engine."""

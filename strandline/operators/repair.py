@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicons as lx
 from ..functions.text import nfkc, safety_core, strip
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def content_change(a, b):
     """Characters in changed stretches of an edit script (the larger side of each), as a share of the longer text."""
     from difflib import SequenceMatcher

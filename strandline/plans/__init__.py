@@ -1 +1 @@
-"""."""
+"""The plans of the engine."""

@@ -1 +1 @@
-"""."""
+"""The sources of the engine."""

@@ -1 +1 @@
-"""."""
+"""The streaming of the engine."""
