@@ -37,11 +37,18 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def stir(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The rolling hash of a run of code points, one longer."""
+    h = h * np.uint64(0x9E6C63D0876A3F35) + code
+    h += np.uint64(1)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
 class Vocabulary:
     """Pieces by rolling hash of their code points; prefixes for pruning."""
 
-    KEY = np.uint64(0x9E6C63D0876A3F35)
-
     def __init__(self, model_file: str, alpha: float) -> None:
         import sentencepiece
 
@@ -69,7 +76,7 @@ class Vocabulary:
             padded[r, : len(c)] = c
         whole, h = {}, np.zeros(len(codes), np.uint64)
         for k in range(self.longest):
-            h = mix(h * self.KEY + padded[:, k] + np.uint64(1))
+            h = stir(h, padded[:, k])
             for x, i in zip(h[size > k].tolist(), np.where(size == k + 1, keep, -1)[size > k].tolist(), strict=True):
                 if i >= 0 or x not in whole:
                     whole[x] = i
@@ -127,7 +134,7 @@ class Lattices:
         place, h, found = np.flatnonzero(left > 0), np.zeros(nodes, np.uint64), []
         for length in range(1, vocabulary.longest + 1):
             place = place[left[place] >= length]
-            h[place] = mix(h[place] * vocabulary.KEY + cp[place + length - 1] + np.uint64(1))
+            h[place] = stir(h[place], cp[place + length - 1])
             k = vocabulary.find(h[place])
             place, k = place[k >= 0], k[k >= 0]
             if not len(place):
@@ -260,7 +267,8 @@ def sample_texts(lattice: Lattices, texts: list, keys: np.ndarray, k: int) -> li
         for (d, g, place, excluded, head, old, at, option, _), base_at, a, b in zip(begun, sizes[:-1], cut[:-1], cut[1:], strict=True):
             made.append((d, g, place, excluded, len(head), np.concatenate([head, option, tail[a:b]]), np.concatenate([old, np.full(len(option), at), who[a:b] - base_at + at])))
         flat = np.concatenate([m[5] for m in made])
-        logp, left = np.log(lattice.prob[flat]), 1.0 - lattice.prob[flat]
+        p = lattice.prob[flat]
+        logp, left = np.log(p), 1.0 - p
         left[lattice.alone[flat] | (left < 1e-13)] = 0.0
         ends = np.cumsum([len(m[5]) for m in made])
         total = np.r_[0.0, np.cumsum(logp)]
