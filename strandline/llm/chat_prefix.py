@@ -1,7 +1,7 @@
 """Chat formatting: every assistant turn becomes an example whose context is all turns before it.
 
 A turn is written as ``<s>[ROLE:role]text</s>``. Within roles and texts, ``\\``, ``<`` and ``[`` are
-written ``\\0``, ``\\1`` and ``\\2``, so no text can hold a mark, and reading restores it exactly. As an
+written ``\\0``, ``\\1`` and ``\\2`` (``]`` in roles ``\\3``), so no text can hold a mark, and reading restores it exactly. As an
 example's context is everything before its reply, an example is a prefix of its conversation's stream:
 examples are kept as (stream, length, trainable span), linear in the conversation, and ``expand`` writes
 the prefixes out.
@@ -26,7 +26,7 @@ def escape(x: Column) -> Column:
 
 
 def unescape(x: str) -> str:
-    return x.replace("\\2", "[").replace("\\1", "<").replace("\\0", "\\")
+    return x.replace("\\3", "]").replace("\\2", "[").replace("\\1", "<").replace("\\0", "\\")
 
 
 def streams(turns: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def streams(turns: DataFrame) -> DataFrame:
     partitions and streamed: a long conversation is never held at once.
     """
     base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    head = F.concat(F.lit("<s>[ROLE:"), escape(F.col("role")), F.lit("]"))
+    head = F.concat(F.lit("<s>[ROLE:"), F.replace(escape(F.col("role")), F.lit("]"), F.lit("\\3")), F.lit("]"))
     pieces = base.select("conv_id", "turn", "role", "text", F.concat(head, escape(F.col("text")), F.lit("</s>")).alias("piece"), F.length(head).alias("lead"))
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("text", "turn")
 
@@ -84,7 +84,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
         import pyarrow as pa
 
-        form = re.compile(r"<s>\[ROLE:([^\[<\]]*(?:\][^\[<\]]*)*?)\]([^\[<]*)</s>", re.S)
+        form = re.compile(r"<s>\[ROLE:([^\[<\]]*)\]([^\[<]*)</s>", re.S)
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64()), ("example_chars", pa.int64())])
         conv, state, out = None, None, []
 

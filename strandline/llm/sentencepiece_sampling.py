@@ -271,31 +271,30 @@ def sample_texts(lattice: Lattices, texts: list, keys: np.ndarray, k: int) -> li
         logp, left = np.log(p), 1.0 - p
         left[lattice.alone[flat] | (left < 1e-13)] = 0.0
         ends = np.cumsum([len(m[5]) for m in made])
-        total = np.r_[0.0, np.cumsum(logp)]
         # a set's perturbed value falls with its exponential race time, -log(u) / mass
         size = np.array([len(m[5]) for m in made])
         within = np.arange(len(flat)) - np.repeat(ends - size, size)
         u = uniform(np.repeat(salt[[m[0] for m in made]], size) + salts[3] * (within + 1).astype(np.uint64))
         with np.errstate(divide="ignore"):
-            phi_all = total[:-1] + np.log(left)
-            race_all = np.log(-np.log(u)) - phi_all
+            race_all = np.log(-np.log(u)) - np.log(left)
         for (d, g, place, excluded, _, options, slot), end in zip(made, ends.tolist(), strict=True):
             first = end - len(options)
             number = len(out[d])
-            out[d].append((options, float(total[end] - total[first]), g, slot))
+            total = np.r_[0.0, np.cumsum(logp[first:end])]  # of this text alone: results must not depend on its block
+            out[d].append((options, float(total[-1]), g, slot))
             # the rest of the popped set, cut by the first place where a member leaves this segmentation
-            race = race_all[first + place : end]
+            race = race_all[first + place : end] - total[place:-1]
             if excluded:
                 a, b = lattice.span(options[place])
                 held = sum(float(lattice.prob[o]) for o in range(a, b) if o not in excluded and o != options[place])
-                race[0] = np.log(-np.log(u[first + place])) - (total[first + place] + np.log(held)) if held > 1e-13 else np.inf
+                race[0] = np.log(-np.log(u[first + place])) - total[place] - np.log(held) if held > 1e-13 else np.inf
             want = k - number
             if not len(race):
                 continue
             best = np.argpartition(race, want - 1)[:want] if len(race) > want else np.arange(len(race))
             for q in best.tolist():
                 if race[q] < np.inf:
-                    bound = -float(np.logaddexp(-g, race[q] + total[first]))
+                    bound = -float(np.logaddexp(-g, race[q]))
                     heapq.heappush(heaps[d], (-bound, place + q, number, place + q, (*(excluded if q == 0 else ()), int(options[place + q]))))
     return [(found, -heap[0][0] if heap else -np.inf) for found, heap in zip(out, heaps, strict=True)]
 
