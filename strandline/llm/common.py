@@ -8,11 +8,10 @@ import types
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the kernels work on at a time (a longer text is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class Scratch:
@@ -48,9 +47,16 @@ def once(key, make):
     return held[key]
 
 
-def row_key(*cols: str) -> Column:
-    """A key of equal rows: null-safe hash of the columns."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols])
+def release() -> None:
+    """Gives freed memory back to the system: workers are kept between stages, and so is what they hold."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = once("libc", lambda: ctypes.CDLL(None))
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, chunks, mix, odd_constants, text_buffer
+from .common import WordHasher, chunks, mix, odd_constants, release, text_buffer
 
 #: Words of a benchmark that one broadcast holds; larger ones are walked in several automata.
 BLOCK_WORDS = 2_000_000
@@ -217,6 +217,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int, report, schema: T.S
                     a, b = int(at[d]), int(at[d + 1])
                     rows.append(report(batch, i + d, b - a, hit[a:b], found.get(d, ()), longest.get(d, 0), first[a:b], last[a:b], raw, int(starts[i + d]), int(ends[i + d])))
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=to_arrow(schema))
+            release()
 
     return docs.mapInArrow(run, schema)
 

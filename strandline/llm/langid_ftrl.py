@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, odd_constants, text_buffer
+from .common import chunks, odd_constants, release, text_buffer
 
 #: Samples are bounded: rows that the weights are fitted on, and rows for the temperature.
 MAX_TRAIN, MAX_CALIBRATE = 2_000, 1_000
@@ -112,6 +112,7 @@ def document_frequency(docs: DataFrame, bits: int, orders: tuple[int, ...]) -> n
                         seen[place[a[d] : b[d]]] = True
                     df[:-1] += seen
                 df[-1] += j - i
+            release()
         place = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(df[place], pa.int64())], ["place", "n"])
 
@@ -223,6 +224,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 if not v or not (v[:64].isascii() and any(map(str.isalpha, v[:64])) or any(map(str.isalpha, v))):
                     best[k], score[k] = len(langs) - 1, 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([langs[k] for k in best], pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            release()
 
     return docs.toDF(*names).mapInArrow(run, schema).toDF(*columns, "lang_pred", "score")
 

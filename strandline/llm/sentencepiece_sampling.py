@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, odd_constants, once, text_buffer
+from .common import mix, odd_constants, once, release, text_buffer
 
 BLOCK_CHARS = 3 << 19
 MARK = 0x2581
@@ -362,6 +362,7 @@ def encode_samples(docs: DataFrame, key: Column, samples: int = 3, alpha: float
                     arrays.append(pa.array(round_trips(vocabulary, flat, cut, per, part), pa.bool_()))
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *extra.names])
                 i = j
+            release()
 
     return keyed.mapInArrow(run, T.StructType([*fields, *extra.fields])).toDF(*columns, *extra.names)
 

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHasher, chunks, mix, odd_constants, text_buffer
+from .common import Scratch, WordHasher, chunks, mix, odd_constants, release, text_buffer
 from .components import connected_components
 
 SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, slots: int) -
                     ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
                 at += len(part)
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
@@ -143,6 +144,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 listed = pa.ListArray.from_arrays(ends, np.concatenate(part).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array([len(s) for s in part], pa.int64()), listed], ["doc_id", "n_shingles", "shingles"])
                 at += len(part)
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
