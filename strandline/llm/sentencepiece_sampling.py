@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, odd_constants, once, release, text_buffer
+from .common import mix, odd_constants, once, release, steady_heap, text_buffer
 
 BLOCK_CHARS = 3 << 19
 MARK = 0x2581
@@ -330,6 +330,7 @@ def encode_samples(docs: DataFrame, key: Column, samples: int = 3, alpha: float
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        steady_heap()
         vocabulary = once((path, alpha), lambda: Vocabulary(path, alpha))
         for batch in batches:
             column, keys = batch.column(text_at), np.asarray(batch.column(len(names)), np.int64)
