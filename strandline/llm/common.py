@@ -47,20 +47,6 @@ def once(key, make):
     return held[key]
 
 
-def steady_heap() -> None:
-    """Keeps large arrays on the worker's heap between uses, instead of mapping fresh pages for each."""
-    import ctypes
-
-    def settle():
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "mallopt"):
-            libc.mallopt(-3, 1 << 30)  # M_MMAP_THRESHOLD
-            libc.mallopt(-1, 1 << 30)  # M_TRIM_THRESHOLD
-        return True
-
-    once("steady heap", settle)
-
-
 def release() -> None:
     """Gives freed memory back to the system: workers are kept between stages, and so is what they hold."""
     import ctypes
