@@ -175,7 +175,7 @@ class Lattices:
             beta[v] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, n)), heads))
         score += beta[self.to]
         score -= np.repeat(beta, count[:-1])
-        self.prob = np.exp(score, out=score)
+        self.log, self.prob = score, np.exp(score)
         self.alone = np.repeat(count[:-1] == 1, count[:-1])  # options without another at their node
         self.over = left == 0
 
@@ -219,6 +219,23 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+#: Race times are above exp(-LOWEST), whatever the draw; places within REACH nats hold the winners but for rare draws.
+LOWEST, REACH = 37.5, 44.0
+
+
+def races(lattice: Lattices, options: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Log race times, -log(u) / mass, of the sets that leave a segmentation at an option, given what precedes it."""
+    left = 1.0 - lattice.prob[options]
+    left[lattice.alone[options] | (left < 1e-13)] = 0.0
+    with np.errstate(divide="ignore"):
+        return draws(salt) - np.log(left)
+
+
+def draws(salt: np.ndarray) -> np.ndarray:
+    """Logs of exponential variables."""
+    return np.log(np.maximum(-np.log(uniform(salt)), 2.0**-54))
+
+
 def sample_texts(lattice: Lattices, texts: list, keys: np.ndarray, k: int) -> list:
     """For each text, the k best perturbed segmentations and the next bound.
 
@@ -239,7 +256,8 @@ def sample_texts(lattice: Lattices, texts: list, keys: np.ndarray, k: int) -> li
         if not live:
             break
         salt = mix(base + numbers[round_])
-        begun, nodes, seeds = [], [], []
+        turn = uniform(salt ^ salts[2])
+        begun, nodes = [], []
         for d in live:
             g, _, parent, place, excluded = heapq.heappop(heaps[d])
             words = texts[d]
@@ -252,43 +270,50 @@ def sample_texts(lattice: Lattices, texts: list, keys: np.ndarray, k: int) -> li
                 p = lattice.prob[a:b].copy()
                 p[[e - a for e in excluded]] = 0
                 c = np.cumsum(p)
-                u = uniform(salt[d : d + 1] ^ salts[2])[0] * c[-1]
-                option = np.array([a + min(int(np.searchsorted(c, u, side="right")), int(np.flatnonzero(p)[-1]))])
+                option = np.array([a + min(int(np.searchsorted(c, turn[d] * c[-1], side="right")), int(np.flatnonzero(p)[-1]))])
             ahead = lattice.root[words[at:]]
             if len(option):
                 ahead[0] = lattice.to[option[0]]
             begun.append((d, -g, place, excluded, head, old, at, option, len(ahead)))
             nodes.append(ahead)
-            seeds.append(mix(salt[d] + np.arange(at + 1, at + len(ahead) + 1, dtype=np.uint64) * step))
-        sizes = np.r_[0, np.cumsum([len(n) for n in nodes])]
-        who, tail = lattice.paths(np.concatenate(nodes), np.concatenate(seeds))
+        count = np.array([b[8] for b in begun])
+        sizes = np.r_[0, np.cumsum(count)]
+        words_at = np.arange(sizes[-1]) + np.repeat(np.array([b[6] for b in begun]) + 1 - sizes[:-1], count)
+        who, tail = lattice.paths(np.concatenate(nodes), mix(np.repeat(salt[live], count) + words_at.astype(np.uint64) * step))
         cut = np.searchsorted(who, sizes)
         made = []
         for (d, g, place, excluded, head, old, at, option, _), base_at, a, b in zip(begun, sizes[:-1], cut[:-1], cut[1:], strict=True):
             made.append((d, g, place, excluded, len(head), np.concatenate([head, option, tail[a:b]]), np.concatenate([old, np.full(len(option), at), who[a:b] - base_at + at])))
-        flat = np.concatenate([m[5] for m in made])
-        p = lattice.prob[flat]
-        logp, left = np.log(p), 1.0 - p
-        left[lattice.alone[flat] | (left < 1e-13)] = 0.0
-        ends = np.cumsum([len(m[5]) for m in made])
-        # a set's perturbed value falls with its exponential race time, -log(u) / mass
-        size = np.array([len(m[5]) for m in made])
-        within = np.arange(len(flat)) - np.repeat(ends - size, size)
-        u = uniform(np.repeat(salt[[m[0] for m in made]], size) + salts[3] * (within + 1).astype(np.uint64))
-        with np.errstate(divide="ignore"):
-            race_all = np.log(-np.log(u)) - np.log(left)
-        for (d, g, place, excluded, _, options, slot), end in zip(made, ends.tolist(), strict=True):
-            first = end - len(options)
+        logp = lattice.log[np.concatenate([m[5] for m in made])]
+        # masses fall along a segmentation, so a place cannot win once -total exceeds the k-th best time by LOWEST
+        totals, windows, end = [], [], 0
+        for _, _, place, _, _, options, _ in made:
+            total = np.zeros(len(options) + 1)
+            np.cumsum(logp[end : end + len(options)], out=total[1:])  # of this text alone: results must not depend on its block
+            end += len(options)
+            totals.append(total)
+            windows.append(place + int(np.searchsorted(-total[place:-1], REACH - total[place], side="right")))
+        wide = np.array([stop - m[2] for m, stop in zip(made, windows, strict=True)])
+        starts = np.cumsum(wide) - wide
+        within = np.arange(int(wide.sum())) + np.repeat(np.array([m[2] for m in made]) + 1 - starts, wide)
+        first = draws(salt[live] + salts[3] * np.array([m[2] + 1 for m in made], np.uint64)).tolist()
+        near = races(lattice, np.concatenate([m[5][m[2] : stop] for m, stop in zip(made, windows, strict=True)]), np.repeat(salt[live], wide) + salts[3] * within.astype(np.uint64))
+        for (d, g, place, excluded, _, options, slot), total, stop, start, draw in zip(made, totals, windows, starts.tolist(), first, strict=True):
             number = len(out[d])
-            total = np.r_[0.0, np.cumsum(logp[first:end])]  # of this text alone: results must not depend on its block
             out[d].append((options, float(total[-1]), g, slot))
             # the rest of the popped set, cut by the first place where a member leaves this segmentation
-            race = race_all[first + place : end] - total[place:-1]
-            if excluded:
-                a, b = lattice.span(options[place])
-                held = sum(float(lattice.prob[o]) for o in range(a, b) if o not in excluded and o != options[place])
-                race[0] = np.log(-np.log(u[first + place])) - total[place] - np.log(held) if held > 1e-13 else np.inf
             want = k - number
+            race = near[start : start + stop - place]
+            for last in (stop, len(options)):
+                if last > stop:  # the window does not decide
+                    race = races(lattice, options[place:], salt[d : d + 1] + salts[3] * np.arange(place + 1, last + 1, dtype=np.uint64))
+                race = race - total[place:last]
+                if excluded and len(race):
+                    a, b = lattice.span(options[place])
+                    held = sum(float(lattice.prob[o]) for o in range(a, b) if o not in excluded and o != options[place])
+                    race[0] = draw - np.log(held) - total[place] if held > 1e-13 else np.inf
+                if last == len(options) or (len(race) >= want and np.partition(race, want - 1)[want - 1] + LOWEST <= -total[last]):
+                    break
             if not len(race):
                 continue
             best = np.argpartition(race, want - 1)[:want] if len(race) > want else np.arange(len(race))
