@@ -74,10 +74,15 @@ def safety_core(x: Column) -> Column:
 
 def boundary_overlap(left: Column, right: Column) -> Column:
     """The longest n >= 2 such that compact left ends with the first n characters of compact right; else 0."""
-    a, b = compact(left), compact(right)
-    limit = F.least(F.length(a), F.length(b))
-    tries = F.when(limit >= 2, F.sequence(limit, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.get(F.filter(tries, lambda n: F.endswith(a, F.substring(b, F.lit(1), n))), F.lit(0)), F.lit(0))
+
+    def longest(s):
+        limit = F.least(F.length(s["a"]), F.length(s["b"]))
+        tries = F.when(limit >= 2, F.sequence(limit, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.get(F.filter(tries, lambda n: F.endswith(s["a"], F.substring(s["b"], F.lit(1), n))), F.lit(0))
+
+    # an array of one holds the compact texts, so that they are not made again for each length
+    once = F.array(F.struct(compact(left).alias("a"), compact(right).alias("b")))
+    return F.coalesce(F.get(F.transform(once, longest), F.lit(0)), F.lit(0))
 
 
 def readable(x: Column, markers=lx.DISCOURSE_MARKERS, exclusions=lx.NON_DISCOURSE_PREFIXES, comma=lx.COMMA, period=lx.PERIOD) -> Column:

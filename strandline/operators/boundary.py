@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,39 +72,46 @@ def split_sentences(words: DataFrame, keys: list[str], marks=lx.TERMINAL_MARKS,
     """Boundary decisions of sentences: (keys, word_idx, gap, reason, left_text, right_text).
 
     words(word_idx, text (normalised), start, end). What is left of a word counts from the last boundary,
-    so a sentence's words are folded. Rules are tried in order: a terminal mark splits; a final particle, a
+    so a sentence's words are folded; what is right of it is cut from the sentence's text, joined once. Rules are tried in order: a terminal mark splits; a final particle, a
     dependent prefix, or a digit after an unfinished text never does; a strong pause, a repeated heading
     and a sentence-final text do.
     """
-    a = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "start", "end"))).alias("a")).where(F.size("a") > 1)
-    state = "struct<chunk:int,left:string,out:array<struct<word_idx:int,gap:double,reason:string,left_text:string,right_text:string>>>"
-
-    def text_of(arr, first):
-        return F.array_join(F.transform(F.slice(arr, first, F.size(arr)), lambda x: x["text"]), "")
-
-    arr = F.col("a")
+    words = words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_c", compact(F.col("text")))
+    a = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "start", "end", F.col("_c").alias("c")))).alias("a")).where(F.size("a") > 1)
+    # the sentence as given and without white space; the state is where the open part begins and ends in both
+    a = a.withColumns({"t": F.array_join(F.transform("a", lambda x: x["text"]), ""), "u": F.array_join(F.transform("a", lambda x: x["c"]), "")})
+    state = "struct<first:int,at:int,first_c:int,at_c:int,out:array<struct<word_idx:int,gap:double,reason:string,left_text:string,right_text:string>>>"
+    arr, t, u = F.col("a"), F.col("t"), F.col("u")
+    head = max(map(len, (*particles, *prefixes, "0")))
+
+    def ends(left, words):
+        """ends_with_any of a long text: its last characters decide, but after a long run of quotes."""
+        near = F.right(left, F.lit(max(map(len, words)) + 32))
+        return F.when(near.rlike("[" + "".join(map(re.escape, lx.CLOSING_QUOTES)) + "]{33}$"), ends_with_any(left, words)).otherwise(ends_with_any(near, words))
 
     def step(acc, i):
         cur, nxt = F.get(arr, i), F.get(arr, i + 1)
-        left = F.concat(acc["left"], cur["text"])
-        right = text_of(arr, i + 2)
+        at, at_c = acc["at"] + F.length(cur["text"]), acc["at_c"] + F.length(cur["c"])
+        left, right = F.substring(t, acc["first"] + 1, at - acc["first"]), F.substring(t, at + 1, F.length(t))
+        bare, ahead = F.substring(u, acc["first_c"] + 1, at_c - acc["first_c"]), F.substring(u, at_c + 1, F.lit(head))
         gap = nxt["start"] - cur["end"]
-        final = ends_with_any(left, suffixes)
+        final = ends(bare, suffixes)
+        repeated = bare == F.substring(u, at_c + 1, at_c - acc["first_c"])
         reason = (
-            F.when(ends_with_any(cur["text"], marks) | ends_with_any(left, marks), "terminal_mark")
-            .when(starts_with_any(right, particles) | starts_with_any(right, prefixes), F.lit(None))
-            .when(compact(right).rlike(r"^\p{Nd}") & ~final, F.lit(None))
+            F.when(ends_with_any(cur["text"], marks) | ends(bare, marks), "terminal_mark")
+            .when(starts_with_any(ahead, particles) | starts_with_any(ahead, prefixes), F.lit(None))
+            .when(ahead.rlike(r"^\p{Nd}") & ~final, F.lit(None))
             .when(gap >= strong, "strong_pause")
-            .when((F.length(compact(left)) >= 2) & F.startswith(compact(right), compact(left)), "repeated_heading")
+            .when((at_c - acc["first_c"] >= 2) & repeated, "repeated_heading")
             .when(final & (gap >= pause), "pause_after_sentence_final")
             .when(final, "sentence_final_expression")
         )
-        reason = F.when((left != "") & (right != ""), reason)
+        reason = F.when((at > acc["first"]) & (at < F.length(t)), reason)
         one = F.struct(cur["word_idx"].cast("int").alias("word_idx"), F.greatest(gap, F.lit(0.0)).cast("double").alias("gap"), reason.alias("reason"), left.alias("left_text"), right.alias("right_text"))
-        kept = F.struct(acc["chunk"].alias("chunk"), left.alias("left"), acc["out"].alias("out"))
-        cut = F.struct((i + 1).cast("int").alias("chunk"), F.lit("").alias("left"), F.concat(acc["out"], F.array(one)).alias("out"))
+        kept = F.struct(acc["first"].alias("first"), at.alias("at"), acc["first_c"].alias("first_c"), at_c.alias("at_c"), acc["out"].alias("out"))
+        cut = F.struct(at.alias("first"), at.alias("at"), at_c.alias("first_c"), at_c.alias("at_c"), F.concat(acc["out"], F.array(one)).alias("out"))
         return F.when(reason.isNotNull(), cut).otherwise(kept).cast(state)
 
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit("").alias("left"), F.array().alias("out")).cast(state)
+    zero = F.struct(*[F.lit(0).alias(n) for n in ("first", "at", "first_c", "at_c")], F.array().alias("out")).cast(state)
     folded = a.select(*keys, F.aggregate(F.sequence(F.lit(0), F.size("a") - 2), zero, step)["out"].alias("o"))
     return folded.select(*keys, F.explode("o").alias("d")).select(*keys, "d.*")

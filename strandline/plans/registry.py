@@ -150,9 +150,8 @@ def q_lexical(spark, d):
 
 def q_composed(spark, d):
     lex = lexicon(spark, d)
-    pieces = lex.where("length(reading) <= 2 and ord <= 2").select("surface", "reading")
-    t = lex.where("length(reading) between 3 and 4 and n >= 2").select(F.col("surface").alias("text"), "reading").withColumn("t", F.col("text"))
-    return homophone.composed_candidates(t, pieces, ["t"], limit=10).select("text", "candidate", "rank")
+    t = lex.select(F.col("surface").alias("text"), "reading").withColumn("t", F.col("text"))
+    return homophone.composed_candidates(t, lex.select("surface", "reading"), ["t"], limit=10).select("text", "candidate", "rank")
 
 
 def q_decide(spark, d):
@@ -164,9 +163,10 @@ def q_decide(spark, d):
 
 
 def q_gate(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.substring("text", 1, 160), F.lit("")).alias("original_text"))
+    """Repairs that change nothing, punctuation, the opening, or the length."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("original_text"))
     kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
-    t = t.withColumn("candidate_text", F.when(kind == 0, F.col("original_text")).when(kind == 1, F.concat("original_text", F.lit("!"))).when(kind == 2, F.concat(F.lit("Abc"), F.substring("original_text", 4, 160))).otherwise(F.substring("original_text", 1, 40)))
+    t = t.withColumn("candidate_text", F.when(kind == 0, F.col("original_text")).when(kind == 1, F.concat("original_text", F.lit("!"))).when(kind == 2, F.concat(F.lit("Abc"), F.expr("substring(original_text, 4)"))).otherwise(F.concat("original_text", "original_text")))
     return repair.gate_repairs(t).select("conv_id", "turn", "accepted", "reason", F.round("content_change_ratio", 6).alias("content"), F.round("length_delta_ratio", 6).alias("length"))
 
 
@@ -182,12 +182,14 @@ def q_commas(spark, d):
 
 
 def q_overlap_fold(spark, d):
-    s = segments(spark, d).withColumn("text", F.concat(F.substring("text", 1, 6), F.substring(F.lower("text"), 1, 2 + F.pmod("doc_id", F.lit(3))))).withColumn("first_word", F.lit(None).cast("string"))
+    """Each whole turn also says the first characters of the next, which are then an echo."""
+    ahead = F.lead("text", 1, "").over(Window.partitionBy("doc_id").orderBy("position"))
+    s = segments(spark, d).withColumn("text", F.concat("text", F.substring(ahead, F.lit(1), 1 + F.pmod("doc_id", F.lit(4)).cast("int")))).withColumn("first_word", F.lit(None).cast("string"))
     return boundary.merge_overlaps(s.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000}), marks=("?",)).select("doc_id", "position", "text")
 
 
 def q_split_fold(spark, d):
-    w = words(spark, d).where("word_idx < 60").withColumns({"start": F.col("start") / 1000 + F.col("word_idx") % 4 * 0.6 * F.floor(F.col("word_idx") / 9), "end": F.col("end") / 1000 + F.col("word_idx") % 4 * 0.6 * F.floor(F.col("word_idx") / 9)})
+    w = words(spark, d).withColumns({"start": F.col("start") / 1000 + F.col("word_idx") % 4 * 0.6 * F.floor(F.col("word_idx") / 9), "end": F.col("end") / 1000 + F.col("word_idx") % 4 * 0.6 * F.floor(F.col("word_idx") / 9)})
     return boundary.split_sentences(w, ["doc_id", "position"], marks=(".",), suffixes=SUFFIXES, particles=("qu",), prefixes=PREFIXES).select("doc_id", "position", "word_idx", "reason")
 
 
