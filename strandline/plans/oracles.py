@@ -83,7 +83,8 @@ UNION ALL SELECT doc_id, 'overlapping_' || x, position FROM u, (VALUES ('segment
     "topk_prefilter": f"""WITH {WORDS} SELECT doc_id, position, word_idx, row_number() OVER (PARTITION BY doc_id, position ORDER BY coalesce(CASE WHEN length(text) % 3 <> 0 THEN length(text) / 16.0 END, 1.0), coalesce(CASE WHEN word_idx % 5 <> 0 THEN (word_idx % 7) / 8.0 END, 1.0), (unicode(text) % 8) DESC, (length(text) % 4) DESC, "start") AS rank FROM words QUALIFY rank <= 3""",
     "join_equi_antiself": f"WITH {LEX} SELECT t.surface AS text, c.surface AS candidate, row_number() OVER (PARTITION BY t.surface ORDER BY c.ord) AS rank FROM lex t JOIN lex c ON t.reading = c.reading AND t.surface <> c.surface QUALIFY rank <= 5",
     "join_prefix": f"""WITH {LEX}, p AS (SELECT surface AS s, reading AS r FROM lex), t AS (SELECT surface AS text, reading FROM lex),
-c AS (SELECT text, a.s || b.s AS candidate, [{{'n': length(a.r), 's': a.s}}, {{'n': length(b.r), 's': b.s}}] AS path FROM t JOIN p a ON starts_with(reading, a.r) JOIN p b ON reading = a.r || b.r
+c AS (SELECT text, a.s AS candidate, [{{'n': length(a.r), 's': a.s}}] AS path FROM t JOIN p a ON reading = a.r
+UNION ALL SELECT text, a.s || b.s, [{{'n': length(a.r), 's': a.s}}, {{'n': length(b.r), 's': b.s}}] FROM t JOIN p a ON starts_with(reading, a.r) JOIN p b ON reading = a.r || b.r
 UNION ALL SELECT text, a.s || b.s || d.s, [{{'n': length(a.r), 's': a.s}}, {{'n': length(b.r), 's': b.s}}, {{'n': length(d.r), 's': d.s}}] FROM t JOIN p a ON starts_with(reading, a.r) JOIN p b ON starts_with(reading, a.r || b.r) JOIN p d ON reading = a.r || b.r || d.r),
 f AS (SELECT text, candidate, min(path) AS path FROM c WHERE candidate <> text GROUP BY ALL) SELECT text, candidate, row_number() OVER (PARTITION BY text ORDER BY path) AS rank FROM f QUALIFY rank <= 10""",
     "decide_homophone": f"""WITH {LEX}, c AS (SELECT t.surface AS text, c.surface AS cand, CASE WHEN c.n % 5 <> 0 THEN c.n / 64.0 END AS score, c.ord FROM lex t JOIN lex c ON t.reading = c.reading AND t.surface <> c.surface QUALIFY row_number() OVER (PARTITION BY t.surface ORDER BY c.ord) <= 64),
