@@ -3,9 +3,10 @@
 Vectors are compared within (label, dimension) only. The first lists come from random-hyperplane
 buckets, dealt into blocks of bounded size. Each round joins neighbours of neighbours: at every centre,
 the vectors of its forward and reverse neighbours are compared with each other and improve both lists.
-A vector whose list is full of links gets a list of twice the length, up to ``max_list``. Components that
-still hold a full list are compared exactly, block by block, which counts every link within them without
-emitting pairs. A bounded sample of vectors is audited against brute force; below the target recall,
+A vector whose list is full of links gets a list of twice the length, up to ``max_list``. Equal vectors are
+one vector with a weight. Components that still hold a full list are compared exactly, block by block, with
+all vectors of their cell within the angle that links can span, which counts every link of theirs without
+emitting pairs; the others are then linked among themselves. A bounded sample of vectors is audited against brute force; below the target recall,
 further buckets and rounds are added.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors
@@ -15,6 +16,7 @@ embedding); a null vec_id stands alone; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -131,28 +133,83 @@ def descend(graph: DataFrame, vectors: DataFrame, k: int, max_list: int, floor:
     return groups.mapInArrow(all_pairs(max_list, floor), LISTS)
 
 
-def block_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """(v, n): links of each vector within its component, compared block against block."""
+def exact_links(members: DataFrame, live: DataFrame, threshold: float) -> DataFrame:
+    """(v, n, root): all links between members(comp, vec_id, cell, x, w), which are among live, and live(vec_id, cell, x, w).
+
+    n sums up to the weights of a vector's links, and edges (v, root) connect what is linked, given that a
+    component is connected. Members are dealt into blocks; a vector meets a block only if its angle to the
+    block's centre is at most the block's radius plus the threshold's angle, which no link exceeds.
+    """
     size = members.groupBy("comp").count().select("comp", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     put = members.join(size, "comp").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    sides = put.select("comp", "vec_id", "x", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = sides.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "vec_id", "x")
-    groups = pairs.groupBy("comp", "i", "j").agg(F.collect_list(F.struct("block", "vec_id", "x")).alias("g")).select("i", "j", F.col("g.block").alias("side"), F.col("g.vec_id").alias("ids"), F.col("g.x").alias("xs"))
+    reach = math.acos(threshold)
+
+    def centre(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = {"comp": batch.column(0).to_pylist(), "block": batch.column(1).to_pylist(), "cell": batch.column(2).to_pylist(), "c": [], "low": []}
+            for xs in batch.column(3):
+                m = stack(xs.values)
+                c = m.mean(axis=0)
+                c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-6 else m[0]
+                angle = math.acos(max(-1.0, min(1.0, float((m @ c).min())))) + reach
+                out["c"].append(c.tolist())
+                out["low"].append(math.cos(angle) - 1e-7 if angle < math.pi else -2.0)
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("comp", pa.int64()), ("block", pa.int32()), ("cell", pa.string()), ("c", pa.list_(pa.float64())), ("low", pa.float64())]))
+
+    held = put.groupBy("comp", "block").agg(F.min("cell").alias("cell"), F.collect_list("x").alias("xs"))
+    centres = held.mapInArrow(centre, "comp long, block int, cell string, c array<double>, low double")
+    parts = centres.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = parts.join(live.groupBy("cell").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("chunks")), "cell")
+    asks = live.join(parts, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("int").alias("block"), F.col("vec_id").alias("u"), "x", F.lit(None).cast("double").alias("low"))
+    told = centres.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("comp", "block"), F.col("parts")).cast("int").alias("part"), "comp", "block", F.lit(None).cast("long").alias("u"), F.col("c").alias("x"), "low")
+    near = asks.unionAll(told).groupBy("cell", "chunk", "part").agg(F.collect_list(F.struct("comp", "block", "u", "x", "low")).alias("g")).select(*[F.col(f"g.{c}").alias(c) for c in ("comp", "block", "u", "x", "low")])
+
+    def meet(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for comp, block, u, x, low in zip(*[batch.column(c) for c in range(5)], strict=True):
+                m = stack(x.values)
+                is_u = np.asarray(u.values.is_valid())
+                a, b = np.flatnonzero(is_u), np.flatnonzero(~is_u)
+                if not len(a) or not len(b):
+                    continue
+                i, j = np.nonzero(m[a] @ m[b].T >= np.asarray(low.values.take(pa.array(b)))[None, :])
+                at = pa.array(b[j])
+                yield pa.RecordBatch.from_arrays([comp.values.take(at), block.values.take(at), u.values.take(pa.array(a[i]))], ["comp", "block", "u"])
+
+    met = near.mapInArrow(meet, "comp long, block int, u long")
+    inside = members.select(F.col("vec_id").alias("u"), F.lit(True).alias("inside"))
+    chunks = met.groupBy("comp", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    put = put.select("comp", "block", "vec_id", "x", "w").join(chunks, ["comp", "block"])
+    others = met.join(chunks, ["comp", "block"]).join(live.select(F.col("vec_id").alias("u"), "x", "w"), "u").join(inside, "u", "left")
+    others = others.select("comp", "block", F.pmod(F.xxhash64("u"), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"), F.col("u").alias("id"), "x", "w", F.coalesce("inside", F.lit(False)).alias("inside"))
+    sides = others.unionAll(put.select("comp", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False), "vec_id", "x", "w", F.lit(True)))
+    groups = sides.groupBy("comp", "block", "chunk").agg(F.collect_list(F.struct("asks", "id", "x", "w", "inside")).alias("g")).select(*[F.col(f"g.{c}").alias(c) for c in ("asks", "id", "x", "w", "inside")])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for i, j, side, ids, xs in zip(*[batch.column(c) for c in range(5)], strict=True):
-                side, ids, m = np.asarray(side.values), np.asarray(ids.values), stack(xs.values)
-                a, b = np.flatnonzero(side == i.as_py()), np.flatnonzero(side == j.as_py())
+            for asks, ids, xs, w, inner in zip(*[batch.column(c) for c in range(5)], strict=True):
+                asks, ids, w, inner, m = np.asarray(asks.values), np.asarray(ids.values), np.asarray(w.values), np.asarray(inner.values), stack(xs.values)
+                a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
                 hit = (m[a] @ m[b].T >= threshold) & (ids[a][:, None] != ids[b][None, :])
-                v, n = ids[a], hit.sum(axis=1)
-                if i.as_py() != j.as_py():
-                    v, n = np.r_[v, ids[b]], np.r_[n, hit.sum(axis=0)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(n, pa.int64())], ["v", "n"])
+                # members that ask are counted by their own question only
+                n = np.r_[hit @ w[b], (hit & ~inner[a][:, None]).T @ w[a]]
+                top, ra, rb = np.iinfo(np.int64).max, ids[a], ids[b]
+                while True:
+                    na = np.minimum(ra, np.where(hit, rb[None, :], top).min(axis=1, initial=top))
+                    nb = np.minimum(rb, np.where(hit, na[:, None], top).min(axis=0, initial=top))
+                    if (na == ra).all() and (nb == rb).all():
+                        break
+                    ra, rb = na, nb
+                keep = np.r_[hit.any(axis=1), hit.any(axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[ids[a], ids[b]][keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(np.r_[ra, rb][keep], pa.int64())], ["v", "n", "root"])
 
-    return groups.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    return groups.mapInArrow(run, "v long, n long, root long")
 
 
 def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
@@ -187,18 +244,26 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int)
 def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: int = 64, tables: int = 4, rounds: int = 4, target: float = 0.97, queries: int = 256, retries: int = 3) -> DataFrame:
     """One row per row of df(vec_id, embedding, label): vec_id, n_links, component_id, kept, recall (as audited)."""
     scratch = Scratch(df.sparkSession)
-    vectors = scratch.write(clean_vectors(df), "vectors")
+    rows = scratch.write(clean_vectors(df), "rows")
+    vectors = scratch.write(rows.groupBy("cell", "x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w")).select("vec_id", "cell", "x", "w"), "vectors")
     floor = 2 * threshold * threshold - 1  # cosine of twice the angle: what a common neighbour guarantees
     caps = vectors.sparkSession.createDataFrame([], "v long, cap int")
-    lists, recall, step, graph = None, 1.0, 0, None
+    live, lists, recall, step = vectors, None, 1.0, 0
+    counts, bonds = [], []  # of vectors that were compared with all others
+
+    def settle(members: DataFrame, name: str) -> None:
+        hits = scratch.write(exact_links(members, live, threshold), name)
+        counts.append(hits.select("v", "n"))
+        bonds.append(hits.select(F.col("v").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
+
     for again in range(retries + 1):
-        new = first_lists(vectors, tables, again, k, floor)
+        new = first_lists(live, tables, again, k, floor)
         graph = scratch.write(merged(new if lists is None else new.unionAll(lists), caps, threshold, max_list, k), f"graph-{step}")
         links = -1
         for _ in range(rounds):
             step += 1
             caps = graph.select("v", "cap")
-            better = descend(graph, vectors, k, max_list, floor)
+            better = descend(graph, live, k, max_list, floor)
             graph = scratch.write(merged(graph.select("v", "near").unionAll(better), caps, threshold, max_list, k), f"graph-{step}")
             n = graph.agg(F.sum(F.size(F.filter("near", lambda x: x["s"] >= threshold)))).first()[0] or 0
             if n <= 1.001 * links:
@@ -207,15 +272,29 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: i
         lists, caps, step = graph.select("v", "near"), graph.select("v", "cap"), step + 1
         edges = scratch.write(link_edges(graph, threshold), f"edges-{again}")
         comps = connected_components(edges, scratch, f"comps-{again}")
-        full = graph.where(F.size(F.filter("near", lambda x: x["s"] >= threshold)) >= max_list).select("v")
+        full = graph.where(F.size(F.filter("near", lambda x: x["s"] >= threshold)) >= F.least("cap", F.lit(max_list))).select("v")
         dense = comps.join(full, "v", "left_semi").select("comp").distinct()
-        members = comps.join(dense, "comp", "left_semi").join(vectors.select(F.col("vec_id").alias("v"), "x"), "v").select("comp", F.col("v").alias("vec_id"), "x")
-        exact = block_counts(members, threshold).withColumnRenamed("n", "exact")
-        listed = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("listed"))
-        found = scratch.write(listed.join(exact, "v", "left").select("v", F.coalesce("exact", "listed").alias("n")), f"found-{again}")
-        got, true = audit(vectors, found, threshold, queries)
+        members = scratch.write(comps.join(dense, "comp", "left_semi").withColumnRenamed("v", "vec_id").join(live, "vec_id").select("comp", "vec_id", "cell", "x", "w"), f"members-{again}")
+        settled = not members.isEmpty()
+        if settled:  # their lists may leave links out: compared with all that is left, then set apart
+            settle(members, f"exact-{again}")
+            gone = members.select(F.col("vec_id").alias("a"))
+            bonds.append(edges.join(gone, "a", "left_semi"))
+            edges = edges.join(gone, "a", "left_anti")
+            live = scratch.write(live.join(members, "vec_id", "left_anti"), f"live-{again}")
+            ids = live.select(F.col("vec_id").alias("v"))
+            lists = lists.join(ids, "v", "left_semi").select("v", F.explode("near").alias("n")).withColumn("u", F.col("n.u")).join(ids.toDF("u"), "u", "left_semi").groupBy("v").agg(F.collect_list("n").alias("near"))
+        ends = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(edges.select("b", "a"))
+        listed = scratch.write(ends.join(live.select(F.col("vec_id").alias("u"), "w"), "u").groupBy("v").agg(F.count("*").alias("links"), F.sum("w").alias("n")), f"listed-{again}")
+        got, true = audit(live, listed.select("v", F.col("links").alias("n")), threshold, queries)
         recall = got / true if true else 1.0
-        if recall >= target:
+        if recall >= target and not settled:
             break
-    out = df.select(F.col("vec_id").cast("long").alias("vec_id")).join(found.toDF("vec_id", "n"), "vec_id", "left").join(comps.toDF("vec_id", "comp"), "vec_id", "left")
+    counts.append(listed.select("v", "n"))
+    bonds.append(edges)
+    total = functools.reduce(DataFrame.unionAll, counts).groupBy(F.col("v").alias("vec_id")).agg(F.sum("n").alias("n"))
+    comps = connected_components(functools.reduce(DataFrame.unionAll, bonds), scratch, "comps").toDF("vec_id", "comp")
+    classes = vectors.join(total, "vec_id", "left").join(comps, "vec_id", "left").select("cell", "x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("comp", "vec_id").alias("comp"))
+    each = scratch.write(rows.join(classes, ["cell", "x"]).select("vec_id", "n", "comp"), "each")
+    out = df.select(F.col("vec_id").cast("long").alias("vec_id")).join(each, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"), F.lit(recall).alias("recall")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).select("vec_id", "n_links", "component_id", "kept", "recall")

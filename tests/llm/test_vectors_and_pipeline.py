@@ -37,6 +37,19 @@ def test_vectors(spark):
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_between_full_groups(spark):
+    rng = np.random.default_rng(8)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    near = np.r_[[a] * 100, [0.95 * a + (1 - 0.95**2) ** 0.5 * b] * 100] + rng.standard_normal((200, 64)) * 1e-4
+    m = np.r_[near, [near[0]] * 80, rng.standard_normal((50, 64))]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r for r in nn_descent.near_vectors(df).collect()}
+    assert [got[i].n_links for i in range(len(m))] == links.tolist()
+    assert {got[i].component_id for i in range(280)} == {0} and [i for i in range(280) if got[i].kept] == [0]
+
+
 def test_pipeline(spark, tmp_path):
     rnd = random.Random(4)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
