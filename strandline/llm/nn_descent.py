@@ -6,8 +6,9 @@ the vectors of its forward and reverse neighbours are compared with each other a
 A vector whose list is full of links gets a list of twice the length, up to ``max_list``. Equal vectors are
 one vector with a weight. Components that still hold a full list are compared exactly, block by block, with
 all vectors of their cell within the angle that links can span, which counts every link of theirs without
-emitting pairs; the others are then linked among themselves. A bounded sample of vectors is audited against brute force; below the target recall,
-further buckets and rounds are added.
+emitting pairs; the others are then linked among themselves. A bounded sample of these is audited against
+brute force, each vector with links counting alike; below the target recall, further buckets and rounds are
+added, and when these end below it, all vectors that are left are compared.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label, link with nothing; rows that repeat a vec_id count as one vector (the least label and
@@ -212,12 +213,12 @@ def exact_links(members: DataFrame, live: DataFrame, threshold: float) -> DataFr
     return groups.mapInArrow(run, "v long, n long, root long")
 
 
-def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int) -> tuple[int, int]:
-    """(found, true) links of a bounded sample of vectors, against all rows."""
+def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int) -> float:
+    """The mean share of their true links that is found(v, n), over a bounded sample of vectors and those with links."""
     sample = vectors.select("vec_id", "cell", "x", F.xxhash64("vec_id", F.lit(17)).alias("h")).orderBy("h", "vec_id").limit(queries)
     rows = [(r["vec_id"], r["cell"], np.array(r["x"])) for r in sample.collect()]
     if not rows:
-        return 0, 0
+        return 1.0
     by_cell: dict[str, list] = {}
     for v, cell, x in rows:
         by_cell.setdefault(cell, []).append((v, x))
@@ -237,8 +238,16 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float, queries: int)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["v", "n"])
 
     true = vectors.select("vec_id", "cell", "x").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("true"))
-    row = true.join(found, "v", "left").agg(F.sum(F.coalesce("n", F.lit(0))).alias("f"), F.sum("true").alias("t")).first()
-    return int(row["f"] or 0), int(row["t"] or 0)
+    share = F.coalesce("n", F.lit(0)) / F.col("true")
+    row = true.where(F.col("true") > 0).join(found, "v", "left").agg(F.avg(F.least(share, F.lit(1.0)))).first()
+    return 1.0 if row[0] is None else float(row[0])
+
+
+def tables_needed(count: int, threshold: float, chance: float) -> int:
+    """Tables of hyperplane buckets in which a pair at the threshold meets at least once with the given chance."""
+    bits = min(40, max(0, math.ceil(math.log2(max(count, 1) / BLOCK))))
+    apart = 1 - (1 - math.acos(threshold) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - chance) / math.log(apart))) if apart > 0 else 1
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: int = 64, tables: int = 4, rounds: int = 4, target: float = 0.97, queries: int = 256, retries: int = 3) -> DataFrame:
@@ -257,7 +266,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: i
         bonds.append(hits.select(F.col("v").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())
 
     for again in range(retries + 1):
-        new = first_lists(live, tables, again, k, floor)
+        largest = live.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+        new = first_lists(live, max(tables, tables_needed(largest, threshold, target)), again, k, floor)
         graph = scratch.write(merged(new if lists is None else new.unionAll(lists), caps, threshold, max_list, k), f"graph-{step}")
         links = -1
         for _ in range(rounds):
@@ -286,12 +296,16 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: i
             lists = lists.join(ids, "v", "left_semi").select("v", F.explode("near").alias("n")).withColumn("u", F.col("n.u")).join(ids.toDF("u"), "u", "left_semi").groupBy("v").agg(F.collect_list("n").alias("near"))
         ends = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(edges.select("b", "a"))
         listed = scratch.write(ends.join(live.select(F.col("vec_id").alias("u"), "w"), "u").groupBy("v").agg(F.count("*").alias("links"), F.sum("w").alias("n")), f"listed-{again}")
-        got, true = audit(live, listed.select("v", F.col("links").alias("n")), threshold, queries)
-        recall = got / true if true else 1.0
+        recall = audit(live, listed.select("v", F.col("links").alias("n")), threshold, queries)
         if recall >= target and not settled:
             break
-    counts.append(listed.select("v", "n"))
-    bonds.append(edges)
+    if recall >= target:
+        counts.append(listed.select("v", "n"))
+        bonds.append(edges)
+    else:  # all that is left is compared; a cell counts as one component, whose blocks need not be linked
+        cells = live.groupBy("cell").agg(F.min("vec_id").alias("comp"))
+        settle(live.join(cells, "cell").select("comp", "vec_id", "cell", "x", "w"), "exact")
+        recall = 1.0
     total = functools.reduce(DataFrame.unionAll, counts).groupBy(F.col("v").alias("vec_id")).agg(F.sum("n").alias("n"))
     comps = connected_components(functools.reduce(DataFrame.unionAll, bonds), scratch, "comps").toDF("vec_id", "comp")
     classes = vectors.join(total, "vec_id", "left").join(comps, "vec_id", "left").select("cell", "x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("comp", "vec_id").alias("comp"))

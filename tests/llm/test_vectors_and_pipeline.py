@@ -50,6 +50,23 @@ def test_links_between_full_groups(spark):
     assert {got[i].component_id for i in range(280)} == {0} and [i for i in range(280) if got[i].kept] == [0]
 
 
+def test_missed_pairs_are_audited(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    group, pairs = rng.standard_normal((1, 32)) + rng.standard_normal((100, 32)) * 0.02, rng.standard_normal((20, 32))
+    m = np.r_[group, pairs, pairs + rng.standard_normal((20, 32)) * 0.1]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    # the tables miss all pairs outside the group
+    first = nn_descent.first_lists
+    monkeypatch.setattr(nn_descent, "first_lists", lambda *a: first(*a).where("v < 100"))
+    got = {r.vec_id: r for r in nn_descent.near_vectors(df, retries=1).collect()}
+    assert all(got[i].n_links == 99 and got[i].component_id == 0 for i in range(100))
+    assert all(got[i].n_links == 1 and got[i].component_id == min(i, i + 20 if i < 120 else i - 20) for i in range(100, 140))
+    assert {r.recall for r in got.values()} == {1.0}
+    for count in (10**5, 10**6, 10**7):
+        bits = np.ceil(np.log2(count / 256))
+        assert 1 - (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** nn_descent.tables_needed(count, 0.93, 0.97) >= 0.97
+
+
 def test_pipeline(spark, tmp_path):
     rnd = random.Random(4)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
