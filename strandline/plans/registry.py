@@ -145,13 +145,13 @@ def q_prefilter(spark, d):
 def q_lexical(spark, d):
     lex = lexicon(spark, d)
     t = lex.select(F.col("surface").alias("text"), "reading")
-    return homophone.whole_candidates(t.withColumn("t", F.col("text")), lex, ["t"], limit=5).select("text", "candidate", "rank")
+    return homophone.whole_candidates(t.withColumn("t", F.col("text")), lex, ["t"]).select("text", "candidate", "rank")
 
 
 def q_composed(spark, d):
     lex = lexicon(spark, d)
     t = lex.select(F.col("surface").alias("text"), "reading").withColumn("t", F.col("text"))
-    return homophone.composed_candidates(t, lex.select("surface", "reading"), ["t"], limit=10).select("text", "candidate", "rank")
+    return homophone.composed_candidates(t, lex.select("surface", "reading"), ["t"]).select("text", "candidate", "rank")
 
 
 def q_decide(spark, d):

@@ -131,3 +131,36 @@ def test_composed_and_changes(spark):
     s = spark.createDataFrame([(1, "懲戒の試験と懲戒")], "k int, text string")
     c = spark.createDataFrame([(1, 6, 8, "聴解"), (1, 0, 2, "聴解")], "k int, start int, end int, selected_text string")
     assert homophone.apply_text_changes(s, c, ["k"]).first().text == "聴解の試験と聴解"
+
+
+def test_candidates_of_the_queries_by_brute_force(spark):
+    from strandline.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    reading = {r.surface: r.reading for r in registry.lexicon(spark, d).collect()}
+    by = {}
+    for s in sorted(reading):
+        by.setdefault(reading[s], []).append(s)
+
+    def paths(left, k):
+        if not left:
+            yield ()
+        elif k:
+            for n in range(1, len(left) + 1):
+                for s in by.get(left[:n], ()):
+                    yield from (((n, s), *rest) for rest in paths(left[n:], k - 1))
+
+    whole = {(t, c, k) for t, r in reading.items() for k, c in enumerate([c for c in by[r] if c != t][:64], 1)}
+    composed = set()
+    for t, r in reading.items():
+        best = {}
+        for p in paths(r, 3):
+            c = "".join(s for _, s in p)
+            if c != t:
+                best[c] = min(best.get(c, p), p)
+        composed |= {(t, c, k) for k, c in enumerate(sorted(best, key=best.get)[:64], 1)}
+    for name, want, limit in (("join_equi_antiself", whole, 5), ("join_prefix", composed, 10)):
+        rows = [tuple(r) for r in registry.QUERIES[name](spark, d).select("text", "candidate", "rank").collect()]
+        print(name, len(rows), sum(r[2] > limit for r in rows))
+        assert len(rows) == len(want) and set(rows) == want
+    assert any(k > 10 for _, _, k in composed)
