@@ -1,24 +1,32 @@
 """Chat formatting: every assistant turn becomes an example whose context is all turns before it.
 
 A turn is written as ``<s>[ROLE:role]text</s>``. Within roles and texts, ``\\``, ``<`` and ``[`` are
-written ``\\0``, ``\\1`` and ``\\2`` (``]`` in roles ``\\3``), so no text can hold a mark, and reading restores it exactly. As an
-example's context is everything before its reply, an example is a prefix of its conversation's stream:
-examples are kept as (stream, length, trainable span), linear in the conversation, and ``expand`` writes
-the prefixes out.
-
-Defined results: null text and null role are empty; turns that tie are ordered by role, then text; a
-conversation without assistant turns has no examples; a null conv_id is a conversation; extra columns
-are ignored.
+written ``\\0``, ``\\1`` and ``\\2`` (``]`` in roles ``\\3``), so no text can hold a mark, and reading restores it exactly.
+``expand`` writes one row for each assistant turn: the rendered turns before it, its own, and the span of its
+text, which alone is trainable. Turns after a conversation's last reply (or all, if it has none) follow in a row
+without a trainable span, so nothing that was given is lost.
+
+Whole contexts make the output grow with the square of a conversation's length; that is what the method
+writes. Turns are dealt by conversation, sorted and streamed: a task holds one conversation's text so far and one
+batch of BATCH_CHARS, never its turns or examples together.
+
+Defined results: null text and null role are empty; turns that tie are ordered by role, then text; repeated rows
+are turns of their own; a conversation without assistant turns has no examples but the row that holds its turns;
+a null conv_id is a conversation; texts of any length are kept whole; an empty table has no rows; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RENDERED = "conv_id long, n long, role string, piece string, at long, reply_start long, reply_end long"
+#: Code points of examples in one batch (or one example).
+BATCH_CHARS = 1 << 20
+TURN = re.compile(r"<s>\[ROLE:([^\[<\]]*)\]([^\[<]*)</s>", re.S)
 
 
 def escape(x: Column) -> Column:
@@ -29,90 +37,117 @@ def unescape(x: str) -> str:
     return x.replace("\\3", "]").replace("\\2", "[").replace("\\1", "<").replace("\\0", "\\")
 
 
-def streams(turns: DataFrame) -> DataFrame:
-    """The turns of each conversation as rendered pieces, in order, with their places in its stream.
+def turns_of(text: str) -> list[tuple[str, str]]:
+    """(role, text) of each turn of a rendered conversation; raises if it is none."""
+    out, at = [], 0
+    for m in TURN.finditer(text):
+        if m.start() != at:
+            break
+        out.append((unescape(m[1]), unescape(m[2])))
+        at = m.end()
+    if at != len(text):
+        raise ValueError("not a rendered conversation")
+    return out
 
-    Rows: conv_id, n (from 0), role, piece, at (code points before it), and for assistant turns the
-    trainable span of the example (reply_start, reply_end, in the stream). Rows are sorted within
-    partitions and streamed: a long conversation is never held at once.
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def expand(turns: DataFrame) -> DataFrame:
+    """Examples of turns(conv_id, turn, role, text): conv_id, example (from 0), text, loss_start, loss_end.
+
+    Spans are code points of the text. The rest of a conversation after its last reply is a last row, whose
+    example and span are null; its text is the whole conversation. A conversation's rows are in order.
     """
-    base = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
+    base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     head = F.concat(F.lit("<s>[ROLE:"), F.replace(escape(F.col("role")), F.lit("]"), F.lit("\\3")), F.lit("]"))
     pieces = base.select("conv_id", "turn", "role", "text", F.concat(head, escape(F.col("text")), F.lit("</s>")).alias("piece"), F.length(head).alias("lead"))
-    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("text", "turn")
+    ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", (F.col("role") == "assistant").alias("reply"), "piece", "lead")
 
     def run(batches):
         import pyarrow as pa
 
-        current, n, at = object(), 0, 0
-        for batch in batches:
-            cols = batch.to_pydict()
-            ns, ats, starts, ends = [], [], [], []
-            for conv, role, piece, lead in zip(cols["conv_id"], cols["role"], cols["piece"], cols["lead"], strict=True):
-                if conv != current:
-                    current, n, at = conv, 0, 0
-                ns.append(n)
-                ats.append(at)
-                mine = role == "assistant"
-                starts.append(at + lead if mine else None)
-                ends.append(at + len(piece) - 4 if mine else None)
-                n, at = n + 1, at + len(piece)
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(ns, pa.int64()), batch.column("role"), batch.column("piece"), *[pa.array(x, pa.int64()) for x in (ats, starts, ends)]], ["conv_id", "n", "role", "piece", "at", "reply_start", "reply_end"])
-
-    return ordered.mapInArrow(run, RENDERED)
+        kind, out, held = None, [], 0
 
+        def flush():
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((kind, pa.int64(), pa.string(), pa.int64(), pa.int64()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["conv_id", "example", "text", "loss_start", "loss_end"])
 
-def expand(rendered: DataFrame) -> DataFrame:
-    """The examples written out: conv_id, example, text (the stream up to its reply's end), and the trainable span.
+        current, stream, n, rest = object(), "", 0, False
+        for batch in batches:
+            kind = batch.column(0).type
+            for conv, reply, piece, lead in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if conv != current:
+                    if rest:
+                        out.append((current, None, stream, None, None))
+                        held += len(stream)
+                    current, stream, n = conv, "", 0
+                at, rest = len(stream), not reply
+                stream += piece
+                if reply:
+                    out.append((conv, n, stream, at + lead, len(stream) - 4))
+                    n, held = n + 1, held + len(stream)
+                if held >= BATCH_CHARS:
+                    held = 0
+                    yield flush()
+        if rest:
+            out.append((current, None, stream, None, None))
+        if out:
+            yield flush()
 
-    Its size is that of all prefixes; a conversation's stream is held in one task, as each example holds it anyway.
-    """
-    whole = rendered.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "").alias("stream"), F.array_sort(F.collect_list(F.when(F.col("reply_start").isNotNull(), F.struct("n", "reply_start", "reply_end")))).alias("replies"))
-    each = whole.select("conv_id", "stream", F.posexplode("replies").alias("example", "r"))
-    return each.select("conv_id", "example", F.substring(F.col("stream"), F.lit(1), F.col("r.reply_end").cast("int")).alias("text"), F.col("r.reply_start").alias("reply_start"), F.col("r.reply_end").alias("reply_end"))
+    return ordered.mapInArrow(run, f"conv_id {kind_of(turns, 'conv_id')}, example long, text string, loss_start long, loss_end long")
 
 
-def read_back(rendered: DataFrame) -> DataFrame:
-    """What the output says: one row per conversation, with digests of its turns and of all trainable text.
+def read_back(examples: DataFrame) -> DataFrame:
+    """What examples, as they leave ``expand``, say: one row per conversation, with digests of its turns and of all trainable text.
 
-    Turns are parsed from the pieces, trainable text is cut at the spans. Pieces of a conversation arrive
-    in order; the digests are fed as they come.
+    Trainable text is read under the loss mask of each example; turns are parsed from a conversation's last row,
+    which holds them all. Raises where an example's context is not what the one before it ended with. Rows of a
+    conversation arrive in order; one of them is held at a time. formatted_chars counts the text of all rows.
     """
+    kind = kind_of(examples, "conv_id")
 
     def run(batches):
-        import re
-
         import pyarrow as pa
 
-        form = re.compile(r"<s>\[ROLE:([^\[<\]]*)\]([^\[<]*)</s>", re.S)
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64()), ("example_chars", pa.int64())])
-        conv, state, out = None, None, []
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
+        conv, last, state, out, key = None, "", None, [], None
 
         def close():
-            if state:
-                out.append({"conv_id": conv, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4], "n_examples": state[5], "example_chars": state[6]})
+            turns, digest = turns_of(last), hashlib.sha256()
+            for role, text in turns:
+                digest.update(f"{role}\n{text}\n".encode())
+            out.append((conv, len(turns), digest.hexdigest(), state[0], state[1].hexdigest(), state[2], state[3]))
+
+        def flush():
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((key, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            cols = batch.to_pydict()
-            for c, piece, at, start, end in zip(cols["conv_id"], cols["piece"], cols["at"], cols["reply_start"], cols["reply_end"], strict=True):
+            key = batch.column(0).type
+            for c, text, start, end in zip(*[batch.column(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
                 if state is None or c != conv:
-                    close()
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                role, text = map(unescape, form.fullmatch(piece).groups())
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                state[4] += len(piece)
+                    if state:
+                        close()
+                    conv, last, state = c, "", [0, hashlib.sha256(), 0, 0]
+                if not text.startswith(last):
+                    raise ValueError(f"an example of conversation {c} leaves out a part of its context")
+                last = text
+                state[2] += len(text)
                 if start is not None:
-                    loss = unescape(piece[start - at : end - at])
-                    state[2] += len(loss)
-                    state[3].update(loss.encode())
-                    state[5] += 1
-                    state[6] += end
+                    loss = unescape(text[start:end])
+                    state[0] += len(loss)
+                    state[1].update(loss.encode())
+                    state[3] += 1
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out.clear()
-        close()
+                yield flush()
+        if state:
+            close()
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield flush()
 
-    return rendered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long")
+    return examples.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")

@@ -14,29 +14,51 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 
 
+#: Scratch objects of this process whose tables are not removed, in order.
+MADE: list = []
+
+
+def sweep(after) -> None:
+    """Removes the tables of all Scratch objects made after another, once nothing is left that reads them."""
+    while MADE and MADE[-1] is not after:
+        MADE.pop().keep()
+
+
 class Scratch:
     """Tables written below ``spark.checkpoint.dir``: they cut lineage and outlive executors.
 
-    The folder is read from the session. Only where it is unset, as in tests, is a local one made.
+    The folder is read from the session. Only in local mode, where it may be unset as in tests, is one made;
+    on a cluster an unset folder is an error, as a machine's own folder is not seen by the others.
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
+        self.spark, self.names = spark, set()
+        base, held = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not base and not held.isDefined():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
-            base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="scratch-")
+        base = base or held.get()
         self.root = f"{base.rstrip('/')}/t{uuid.uuid4().hex}"
+        MADE.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Removes all tables but these, which the frame that is returned still reads."""
+        for name in self.names - set(names):
+            self.drop(name)
 
 
 def once(key, make):

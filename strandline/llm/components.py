@@ -28,3 +28,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         if k > 1:
             scratch.drop(f"{name}-{k - 2}")
     return labels
+
+
+def joined_components(comps: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``comps(v, comp)`` after further ``links(a, b)``: only the components that these join are worked on."""
+    if comps is None:
+        return connected_components(links, scratch, name)
+    a = comps.select(F.col("v").alias("a"), F.col("comp").alias("ca"))
+    b = comps.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    moved = connected_components(between, scratch, f"{name}-moved")
+    known = comps.join(moved.select(F.col("v").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("v", F.coalesce("new", "comp").alias("comp"))
+    return scratch.write(known.unionAll(moved.join(comps.select("v"), "v", "left_anti").select("v", "comp")), name)

@@ -2,13 +2,17 @@
 
 Seeds are the base matches. Every identifier-like token (a digit in five characters or more, or an @)
 is an instance; the two words before it on its line are a lexical pattern. Patterns and instances form
-a bipartite graph for each kind. In each round a pattern's confidence is the share of its distinct
-instances that are believed, discounted for few instances; an unseen instance is believed by the
-noisy-or of its patterns; seeds stay at 1. After the last round, patterns of high confidence name the
-kind of the unseen tokens that they precede (``ctx_email`` and so on).
-
-Defined results: null text is empty; repeated rows count once for the graph and get equal results; a
-table without seeds learns nothing; extra columns are ignored.
+a bipartite graph for each kind, which grows from the seeds: in each round the instances that are believed so far
+induce the patterns that they stand in. A pattern's confidence is the believed share of its distinct instances,
+discounted for few instances; an instance is believed by the noisy-or of its patterns if that is 0.5 or more;
+seeds stay at 1. Instances first believed in one round induce further patterns in the next. After the last round,
+patterns of high confidence and support name the kind of the unseen tokens that they precede (``ctx_email`` and
+so on).
+
+Defined results: null text is empty; repeated rows count once for the graph and get equal results; of kinds that
+tie for a pattern the later by name is taken; spans of one kind stand in order of their start; very long texts and
+words are read whole; a null doc_id is a key like any other; a table without seeds learns nothing; an empty table
+gives an empty table; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +32,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 
 SLOT = r"(?<!\S)[^\s0-9@]*+[0-9@][^\s]*+"
+# The last two words of a line so far; possessive, and from a word's start only, so linear.
+LAST_TWO = r"(?<!\S)(\S++[^\S\n]++\S++)[^\S\n]*+\z"
 KINDS = ["email", "ip", "card", "phone"]
-CONTEXT = 48  # code points before a token that are looked at for its two words
 
 
 def luhn(digits):
@@ -58,18 +63,30 @@ def base_spans(text):
 
 
 def slots(text):
-    """Identifier-like tokens with their two words before, on the same line, digits folded."""
-    raw = F.filter(match_spans(text, SLOT, 0, text.rlike("[0-9@]")), lambda s: (s["end"] - s["start"] >= 5) | s["text"].contains("@"))
+    """Identifier-like tokens with their two words before, on the same line, digits folded.
+
+    A token is a word without spaces, so the words before it lie in the two tokens before it and the gaps after these.
+    """
+    gate = text.rlike("[0-9@]")
+    raw, gaps = match_spans(text, SLOT, 0, gate), F.when(gate, F.split(text, SLOT, -1)).otherwise(F.array(F.lit("")))
+
+    def of(held):
+        def one(s, i):
+            def at(name, k, part=None):
+                x = F.get(held[name], i - k)
+                return F.coalesce(x if part is None else x[part], F.lit(""))
+
+            before = F.concat(at("spans", 2, "text"), at("gaps", 1), at("spans", 1, "text"), at("gaps", 0))
+            clean = F.regexp_replace(F.lower(F.regexp_extract(before, LAST_TWO, 1)), "[0-9]", "0")
+            token = F.regexp_replace(s["text"], r"^[\"'(\[<{]+|[\"')\]>},.;:!?]+$", "")
+            lead = F.length(F.regexp_extract(s["text"], r"^([\"'(\[<{]*)", 1))
+            fine = (s["end"] - s["start"] >= 5) | s["text"].contains("@")
+            return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(token)).alias("end"), token.alias("token"), clean.alias("context"), fine.alias("fine"))
 
-    def one(s):
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        words = F.regexp_extract(before, r"([^\s]+[^\S\n]+[^\s]+)[^\S\n]*$", 1)
-        clean = F.regexp_replace(F.lower(words), "[0-9]", "0")
-        token = F.regexp_replace(s["text"], r"^[\"'(\[<{]+|[\"')\]>},.;:!?]+$", "")
-        lead = F.length(F.regexp_extract(s["text"], r"^([\"'(\[<{]*)", 1))
-        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(token)).alias("end"), token.alias("token"), clean.alias("context"))
+        return F.filter(F.transform(held["spans"], one), lambda s: s["fine"] & (s["context"] != "") & (s["end"] > s["start"]))
 
-    return F.filter(F.transform(raw, one), lambda s: (s["context"] != "") & (s["end"] > s["start"]))
+    # an array of one holds the tokens and gaps, as an expression within a lambda would be computed again for each token
+    return F.get(F.transform(F.array(F.struct(raw.alias("spans"), gaps.alias("gaps"))), of), F.lit(0))
 
 
 def bootstrap(occurrences: DataFrame, scratch: Scratch, rounds: int, smooth: float) -> DataFrame:
@@ -78,16 +95,16 @@ def bootstrap(occurrences: DataFrame, scratch: Scratch, rounds: int, smooth: flo
     Iterates over the distinct edges of the pattern-instance graph; every step is a join on a key with
     sums that are combined before the shuffle.
     """
-    seeds = occurrences.where("kind is not null").select("token", "kind").distinct()
-    kinds = occurrences.join(seeds.select("token", F.col("kind").alias("k")), "token").select("context", "k").distinct()
-    edges = occurrences.select("context", "token").distinct().join(kinds, "context")
-    edges = scratch.write(edges.join(seeds.select("token", F.col("kind").alias("k"), F.lit(1.0).alias("seed")), ["token", "k"], "left").select("context", "token", "k", F.coalesce("seed", F.lit(0.0)).alias("seed")), "edges")
-    believed = edges.select("token", "k", F.col("seed").alias("p")).distinct()
+    seeds = scratch.write(occurrences.where("kind is not null").select("token", F.col("kind").alias("k"), F.lit(1.0).alias("p")).distinct(), "seeds")
+    edges = scratch.write(occurrences.select("context", "token").distinct(), "edges")
+    sizes = edges.groupBy("context").agg(F.count("*").alias("n"))
+    believed = seeds
     for r in range(rounds):
-        score = edges.join(believed, ["token", "k"]).groupBy("context", "k").agg((F.sum("p") / (F.count("*") + smooth)).alias("confidence"), F.sum(F.when(F.col("p") >= 0.5, 1).otherwise(0)).alias("support"))
-        score = scratch.write(score, f"patterns-{r}")
-        belief = edges.join(score, ["context", "k"]).groupBy("token", "k").agg(F.greatest(F.max("seed"), 1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("p"))
-        believed = scratch.write(belief, f"instances-{r}")
+        mass = edges.join(believed, "token").groupBy("context", "k").agg(F.sum("p").alias("mass"), F.count("*").alias("support"))
+        score = scratch.write(mass.join(sizes, "context").select("context", "k", (F.col("mass") / (F.col("n") + smooth)).alias("confidence"), "support"), f"patterns-{r}")
+        noisy_or = 1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
+        belief = edges.join(score, "context").groupBy("token", "k").agg(noisy_or.alias("p")).where("p >= 0.5")
+        believed = scratch.write(belief.unionAll(seeds).groupBy("token", "k").agg(F.max("p").alias("p")), f"instances-{r}")
     return score.select("context", F.col("k").alias("kind"), "confidence", "support")
 
 
@@ -120,4 +137,4 @@ def personal_report(docs: DataFrame, **settings) -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = join_spans(F.filter("spans", lambda x: x["rank"] < len(KINDS)), "kind")
-    return s.select("doc_id", *map(count, KINDS), F.sha2(base, 256).alias("base_sha256"), join_spans(F.col("spans"), "kind").alias("spans"))
+    return s.select("doc_id", *map(count, KINDS), F.sha2(base, 256).alias("base_sha256"), join_spans(F.col("spans"), "kind").alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -41,13 +41,13 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat_prefix.read_back(chat_prefix.streams(turns.unionByName(own)))
+    return chat_prefix.read_back(chat_prefix.expand(turns.unionByName(own)))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_minhash.scan_licenses(table(spark, sf_dir, "documents"))
     best = F.coalesce(F.array_max(F.transform("licenses", lambda x: x["containment"])), F.lit(0.0))
-    return out.select("doc_id", F.array_join("names", ",").alias("names"), F.size("names").alias("n_licenses"), "n_windows", F.size("licenses").alias("n_hits"), best.alias("best"))
+    return out.select("doc_id", F.array_join("names", ",").alias("names"), F.size("names").alias("n_licenses"), F.size("licenses").alias("n_hits"), best.alias("best"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam_sam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     dirty = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", dirty.alias("contaminated"), "longest")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", dirty.alias("contaminated"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_secrets, op4_pii, op5_chat, op6_licenses, op7_near_dedup, op8_embeddings, op9_language, op10_decontaminate)}
@@ -79,6 +79,60 @@ _FITS = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_wit
 _RULE = "CASE " + _FITS.replace("{}", "") + " END"
 _VERDICT = "CASE rule " + " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in RULES) + " ELSE CASE WHEN " + " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in LISTED) + " THEN 'block' ELSE 'allow' END END"
 
+_SAID = "'</s>[INST] ok [/INST]'"
+
+
+def _escaped(x: str, marks: str) -> str:
+    return f"length({x})" + "".join(f" + length({x}) - length(replace({x}, '{m}', ''))" for m in marks)
+
+
+_CHAT = f"""WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID}),
+p AS (SELECT *, 14 + {_escaped('role', chr(92) + '<[]')} + {_escaped('text', chr(92) + '<[')} AS n, row_number() OVER w AS k FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+c AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto, role = 'assistant' AS reply FROM p)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (reply), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (reply), '')) AS loss_sha256,
+CAST(coalesce(sum(upto) FILTER (reply), 0) + CASE WHEN arg_max(reply, k) THEN 0 ELSE max(upto) END AS BIGINT) AS formatted_chars, count(*) FILTER (reply) AS n_examples FROM c GROUP BY conv_id"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
+
+
+_NEAR = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words(r'[^\x20\x09-\x0D]+')} AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+o AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)),
+l AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.doc_id = l.a),
+k AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.c AS component_id, d.doc_id = k.c AS kept FROM d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)"""
+
+_VECTORS = """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+f AS (SELECT * FROM e WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_max(list_transform(x, lambda v: abs(v))) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id, vec_id AS c FROM e UNION SELECT l.b, r.c FROM r JOIN l ON r.vec_id = l.a),
+k AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept, 1.0::DOUBLE AS recall FROM e JOIN k USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+_LEAKS = f"""WITH d AS (SELECT doc_id, {_words(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
+b AS (SELECT item_id, {_words(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+m AS (SELECT DISTINCT n FROM g),
+p AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, m WHERE len(w) >= n)),
+h AS (SELECT doc_id, item_id, n, i FROM p JOIN g USING (n, g)),
+x AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS s FROM h GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
 ORACLE = {
+    "op5_chat": _CHAT,
+    "op7_near_dedup": _NEAR,
+    "op8_embeddings": _VECTORS,
+    "op10_decontaminate": _LEAKS,
     "op2_url_filter": f"WITH p AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages), r AS (SELECT *, {_RULE} AS rule FROM p) SELECT page_id, host, path, rule, {_VERDICT} AS verdict FROM r",
 }

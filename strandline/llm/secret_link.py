@@ -7,8 +7,9 @@ weak secret is reported beside an identifier or endpoint, a weak identifier besi
 beside both.
 
 Defined results: null text is empty; repeated rows get equal results; a null doc_id is a key like any
-other; extra columns are kept by ``redact``. A text's spans are folded in its own row, so no group of
-rows grows with the table.
+other; spans that start together stand in the order of their kinds; very long texts are read whole; an empty
+table gives an empty table; columns of any name are kept by ``redact``. A text's spans are folded in its own row,
+so no group of rows grows with the table.
 """
 
 from __future__ import annotations
@@ -99,10 +100,14 @@ def secret_report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by a mark; ``n_chars``, if there is one, is counted anew for changed texts."""
-    spans = secret_spans(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_h"), F.col("spans").alias("_s")).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_h")), "left")
-    new = F.when(F.col("_s").isNull(), F.col("text")).otherwise(cut_spans(text, F.col("_s"), mark))
-    out = joined.withColumn("_t", new)
-    columns = [F.col("_t").alias("text") if c == "text" else F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("_t")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns)
+    spans = secret_spans(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("doc"), "digest", "spans").distinct()
+    columns = docs.columns
+    row = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]).alias("row"))  # whatever the columns are called
+    at = {c: F.col(f"row.c{k}") for k, c in enumerate(columns)}
+    text = F.coalesce(at["text"].cast("string"), F.lit(""))
+    joined = row.join(spans, at["doc_id"].cast("long").eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("digest")), "left")
+    joined = joined.withColumn("new", F.when(F.col("spans").isNull(), at["text"]).otherwise(cut_spans(text, F.col("spans"), mark)))
+    out = dict(at) | {"text": F.col("new")}
+    if "n_chars" in columns:
+        out["n_chars"] = F.when(F.col("spans").isNull(), at["n_chars"]).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[out[c].alias(c) for c in columns])

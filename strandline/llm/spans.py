@@ -8,25 +8,41 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,text:string,value:string>>"
 
 
+#: Matches of a text that are folded at a time: a fold copies what it has for each match.
+FOLD = 128
+
+
 def match_spans(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
     """All leftmost non-overlapping matches of a pattern that matches no empty string, in order.
 
     Matches and the gaps between them (the parts of a split) add up to the text, so each match starts at
     the sum of the lengths before it. ``value`` is the given group. Rows that fail ``gate`` are not searched.
+    Sums are taken over stretches of FOLD matches and then within them, so a text's matches cost linear time.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     empty = F.array().cast(SPAN)
+    rows = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("m"), values.alias("v")), lambda x: x["m"].isNotNull())
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / FOLD).cast("int")), lambda b: b * FOLD + 1)
 
-    def add(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def stretch(rows_):
+        blocks = F.transform(cut, lambda b: F.slice(rows_, b, FOLD))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["m"])))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(sums)), within))
 
-    rows = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("m"), values.alias("v")), lambda x: x["m"].isNotNull())
-    folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"]
+    def within(block, start):
+        def add(acc, x):
+            at = acc["at"] + x["gap"]
+            end = at + F.length(x["m"])
+            one = F.struct(at.alias("start"), end.alias("end"), x["m"].alias("text"), x["v"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), empty.alias("out")), add)["out"]
+
+    # an array of one holds the matches, as an expression within a lambda would be computed again for each stretch
+    folded = F.get(F.transform(F.array(rows), stretch), F.lit(0))
     hit = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
     return F.when(hit, folded).otherwise(empty)
 

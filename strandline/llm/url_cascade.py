@@ -4,10 +4,13 @@ Keys are hosts; a host is listed if it or a domain above it is. The first filter
 the corpus. Unlisted keys of the corpus that it lets through go
 into the second filter, listed keys that the second lets through into the third, and so on until no
 false positive is left. As the levels cover the corpus's complete key universe, the parity of the first
-level that rejects a key tells exactly whether it is listed, and rows are judged by bit tests alone.
+level that rejects a key tells exactly whether it is listed, and rows are judged by bit tests alone. Building it
+takes one join of the distinct hosts (not of the rows) with the list.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is
-allowed; empty tables give empty results; extra columns are kept.
+allowed; rules that tie in length cannot both fit a url with one path, the later wins; very long urls are read
+whole; repeated rows get equal results; empty tables give empty results; columns of any name are kept, but
+``host``, ``path``, ``rule`` and ``verdict`` are replaced.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Bits of one level at most: a level is sent to executors as one array (16 MB), beyond that keys are sharded.
+#: Bits of one level at most: a level is sent to executors as one array (16 MB); a larger one is an error.
 MAX_BITS = 1 << 27
-HASHES = 4
+#: Levels shrink by a constant factor; only keys of one 64-bit hash would go on for ever.
+HASHES, MAX_LEVELS = 4, 64
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -75,7 +79,7 @@ class Cascade:
     """Filters over a key universe: each level's table has one row, kept in the scratch folder."""
 
     def __init__(self, universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS, bits_per_key: int = 8) -> None:
-        """universe(key): distinct keys; listed(key). Keys beyond the bound of one level raise, as ``shards`` is then needed."""
+        """universe(key): distinct keys; listed(key). Keys beyond the bound of one level raise."""
         scratch = Scratch(universe.sparkSession)
         universe = universe.join(listed.select("key", F.lit(True).alias("on")).distinct(), "key", "left").select("key", F.coalesce("on", F.lit(False)).alias("on"))
         universe = scratch.write(universe, "universe")
@@ -86,9 +90,11 @@ class Cascade:
             n = inside.count()
             if not n:
                 break
+            if level == MAX_LEVELS:
+                raise ValueError("a listed and an unlisted key have the same hash")
             bits = 64 << max(0, math.ceil(math.log2(max(1, n * bits_per_key / 64))))
             if bits > max_bits:
-                raise ValueError(f"level {level} holds {n} keys: judge the table in shards of the key's hash")
+                raise ValueError(f"level {level} holds {n} keys: judge the table in parts, by ranges of hosts")
             words = scratch.write(level_words(inside, level, bits), f"level-{level}")
             self.levels.append((words, bits))
             passed = against.where(might_hold(F.col("key"), words.scalar(), level, bits))
@@ -112,5 +118,5 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     named = hosts.select("key", F.explode(suffixes(F.col("key"))).alias("domain")).join(listed.select(F.col("key").alias("domain")), "domain", "left_semi").select("key")
     blocked = (F.col("host") != "") & Cascade(hosts, named).holds(F.col("host"))
     found = matching_rule(F.col("host"), F.col("path"), rules)
-    out = parts.withColumn("found", found)
-    return out.withColumns({"rule": F.col("found.rule"), "verdict": F.coalesce("found.verdict", F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))}).drop("found")
+    verdict = F.coalesce(found["verdict"], F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
+    return parts.select(*[F.col(f"`{c}`") for c in parts.columns], found["rule"].alias("rule"), verdict.alias("verdict"))
