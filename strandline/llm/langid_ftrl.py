@@ -3,10 +3,15 @@
 N-grams of code points are hashed to a table of weights. Document frequencies are counted over every
 training row; the model is fitted with follow-the-regularised-leader (per-coordinate rates, L1 and L2
 penalties) on a sample of at most ``max_train`` training rows, and its temperature on another bounded
-sample that the fit has not seen. A prediction reads the whole text and nothing else.
+sample that the fit has not seen. The fit runs in one task, which holds at most MAX_ENTRIES n-gram counts of
+the sample (rows beyond are not learned from); the driver gets the weights alone. A prediction reads the whole
+text and nothing else.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without training rows
-every text is ``und``; rows with a null lang are predicted but never learned from.
+every text is ``und``; rows with a null lang are predicted but never learned from; texts of any length are read
+whole; repeated rows get equal results and count as often as they occur in training; languages that tie go to
+the first by name; an empty table gives an empty table; columns of any name are kept, but ``lang_pred`` and
+``score`` are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from .common import chunks, odd_constants, release, text_buffer
 
 #: Samples are bounded: rows that the weights are fitted on, and rows for the temperature.
 MAX_TRAIN, MAX_CALIBRATE = 2_000, 1_000
-MAX_LANGUAGES = 1_000
+#: Distinct n-grams of all sampled rows that the fit holds (12 bytes each), and languages at most.
+MAX_ENTRIES, MAX_LANGUAGES = 8_000_000, 200
 
 
 class GramHasher:
@@ -72,14 +78,14 @@ SCALE = 30.0
 
 
 def gram_counts(docs: DataFrame, bits: int, orders: tuple[int, ...]) -> DataFrame:
-    """(lang, part, idx, n): hashed n-gram counts of each whole text of a bounded sample."""
+    """(lang, part, draw, idx, n): hashed n-gram counts of each whole text of a bounded sample."""
 
     def run(batches):
         import pyarrow as pa
 
         hasher = GramHasher(bits, orders)
         for batch in batches:
-            raw, starts, ends = text_buffer(batch.column(2))
+            raw, starts, ends = text_buffer(batch.column(3))
             idx, num = [], []
             for i, j in chunks(starts, ends):
                 per = [[] for _ in range(j - i)]
@@ -90,9 +96,10 @@ def gram_counts(docs: DataFrame, bits: int, orders: tuple[int, ...]) -> DataFram
                     u, c = np.unique(np.concatenate(p), return_counts=True)
                     idx.append(u.astype(np.int32))
                     num.append(c.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idx, pa.list_(pa.int32())), pa.array(num, pa.list_(pa.int32()))], ["lang", "part", "idx", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(idx, pa.list_(pa.int32())), pa.array(num, pa.list_(pa.int32()))], ["lang", "part", "draw", "idx", "n"])
+            release()
 
-    return docs.select("lang", "part", "text").mapInArrow(run, "lang string, part string, idx array<int>, n array<int>")
+    return docs.select("lang", "part", "draw", "text").mapInArrow(run, "lang string, part string, draw long, idx array<int>, n array<int>")
 
 
 def document_frequency(docs: DataFrame, bits: int, orders: tuple[int, ...]) -> np.ndarray:
@@ -123,7 +130,7 @@ def document_frequency(docs: DataFrame, bits: int, orders: tuple[int, ...]) -> n
 
 
 def fit(x: list, y: np.ndarray, classes: int, places: int, epochs: int, alpha: float, beta: float, l1: float, l2: float):
-    """FTRL-proximal over (index, value) rows; sparse weights and a bias."""
+    """FTRL-proximal over (index, value) rows; sparse weights and a bias, whose place is the last."""
     z, n = np.zeros((places + 1, classes)), np.zeros((places + 1, classes))
 
     def weights(i):
@@ -135,6 +142,7 @@ def fit(x: list, y: np.ndarray, classes: int, places: int, epochs: int, alpha: f
     for _ in range(epochs):
         for k in order.permutation(len(x)):
             i, v = x[k]
+            i, v = np.r_[i, places], np.r_[v.astype(float), 1.0]
             w = weights(i)
             s = v @ w
             p = np.exp(s - s.max())
@@ -148,7 +156,53 @@ def fit(x: list, y: np.ndarray, classes: int, places: int, epochs: int, alpha: f
     return weights(slice(None))
 
 
-def train(docs: DataFrame, may_learn: Column, bits: int = 15, orders: tuple[int, ...] = (1, 2, 3, 4), max_train: int = MAX_TRAIN, max_calibrate: int = MAX_CALIBRATE, epochs: int = 3) -> Model | None:
+def calibrated(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature of a grid with the least cross-entropy; 1 without rows."""
+    if not len(truth):
+        return 1.0
+    grid = np.exp(np.linspace(np.log(0.2), np.log(20), 60))
+
+    def loss(t):
+        s = scores / t
+        return (np.logaddexp.reduce(s, axis=1) - s[np.arange(len(s)), truth]).mean()
+
+    return float(grid[int(np.argmin([loss(t) for t in grid]))])
+
+
+def fit_sample(sample: DataFrame, languages: list[str], idf: np.ndarray, epochs: int, max_entries: int) -> DataFrame:
+    """One row (weights, bias, temperature), or none: the model of sample(lang, part, draw, idx, n), fitted in one task."""
+    places = len(idf)
+
+    def run(batches):
+        import pyarrow as pa
+
+        x, y, on, held = [], [], [], 0
+        for batch in batches:
+            for lang, part, i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                i, n = np.array(i.values if i.values is not None else [], np.int32), np.array(n.values if n.values is not None else [], np.float64)
+                if x and held + len(i) > max_entries:
+                    continue
+                held += len(i)
+                x.append((i, SCALE * idf[i] * n / max(1.0, n.sum())))
+                y.append(languages.index(lang))
+                on.append(part == "fit")
+        if not x:
+            return
+        y, on = np.array(y), np.array(on)
+        if not on.any():
+            on[:] = True
+        learn, heat = np.flatnonzero(on), np.flatnonzero(~on)
+        w = fit([x[k] for k in learn], y[learn], len(languages), places, epochs, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-3)
+        temperature = calibrated(np.array([x[k][1] @ w[x[k][0]] + w[-1] for k in heat]).reshape(-1, len(languages)), y[heat])
+        weights = (w[:-1] * idf[:, None] * SCALE).astype(np.float32)
+        yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [w[-1].tobytes()], "temperature": [temperature]})
+        del x, w, weights
+        release()
+
+    return sample.repartition(1).sortWithinPartitions("draw", "lang", "idx").mapInArrow(run, "weights binary, bias binary, temperature double")
+
+
+def train(docs: DataFrame, may_learn: Column, bits: int = 15, orders: tuple[int, ...] = (1, 2, 3, 4), max_train: int = MAX_TRAIN, max_calibrate: int = MAX_CALIBRATE, epochs: int = 3, max_entries: int = MAX_ENTRIES) -> Model | None:
     """Fits on rows of docs(doc_id, text, lang) where ``may_learn`` holds; None if there are none."""
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)).alias("draw"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
@@ -161,35 +215,19 @@ def train(docs: DataFrame, may_learn: Column, bits: int = 15, orders: tuple[int,
     share = F.create_map(*[F.lit(v) for k, c in counts.items() for v in (k, float(min(0.7, each / c)))])
     more = F.create_map(*[F.lit(v) for k, c in counts.items() for v in (k, float(min(0.3, held / c)))])
     part = F.when(F.col("draw") < share[F.col("lang")] * 1_000_000, F.lit("fit")).when(F.col("draw") >= 1_000_000 - more[F.col("lang")] * 1_000_000, F.lit("heat"))
-    sample = gram_counts(rows.withColumn("part", part).where("part is not null"), bits, orders).toArrow()  # bounded by max_train + max_calibrate rows, about 3 % over by chance
-    languages, places = sorted(counts), 1 << bits
+    sample = gram_counts(rows.withColumn("part", part).where("part is not null"), bits, orders)  # max_train + max_calibrate rows, about 3 % over by chance
+    languages = sorted(counts)
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
-    x, y, parts = [], np.array([languages.index(v) for v in sample.column("lang").to_pylist()], np.int64), np.array(sample.column("part").to_pylist())
-    for i, n in zip(sample.column("idx"), sample.column("n"), strict=True):
-        i, n = np.asarray(i.values if i.values is not None else [], np.int64), np.asarray(n.values if n.values is not None else [], float)
-        x.append((np.r_[i, places], np.r_[SCALE * idf[i] * n / max(1.0, n.sum()), 1.0]))
-    on, heat = np.flatnonzero(parts == "fit"), np.flatnonzero(parts == "heat")
-    if not len(on):
-        on = np.arange(len(x))
-    if not len(on):
+    row = fit_sample(sample, languages, idf, epochs, max_entries).head(1)
+    if not row:
         return None
-    w = fit([x[k] for k in on], y[on], len(languages), places, epochs, alpha=0.5, beta=1.0, l1=1e-3, l2=1e-3)
-    scores, truth = np.array([x[k][1] @ w[x[k][0]] for k in heat]).reshape(-1, len(languages)), y[heat]
-    temperature = 1.0
-    if len(heat):
-        grid = np.exp(np.linspace(np.log(0.2), np.log(20), 60))
-
-        def loss(t):
-            s = scores / t
-            return (np.logaddexp.reduce(s, axis=1) - s[np.arange(len(s)), truth]).mean()
-
-        temperature = float(grid[int(np.argmin([loss(t) for t in grid]))])
-    return Model(languages, (w[:-1] * idf[:, None] * SCALE).astype(np.float32), w[-1].astype(np.float64), temperature, bits, orders)
+    weights = np.frombuffer(row[0]["weights"], np.float32).reshape(-1, len(languages))
+    return Model(languages, weights, np.frombuffer(row[0]["bias"], np.float64), row[0]["temperature"], bits, orders)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with ``lang_pred`` and ``score``, from the text alone; other columns are kept."""
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     columns, text_at = docs.columns, docs.columns.index("text")
