@@ -6,8 +6,10 @@ element, which lowers the variance, and a document stops as soon as every slot h
 the next step. Steps are taken for all elements of a chunk at once, which gives the same minima.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own group;
-equal sets always link, repeated rows among them; a null doc_id stands alone (component_id null, kept).
-Extra columns are ignored.
+equal sets always link, repeated rows among them; a doc_id with several texts is one document that links by any
+of them; a null doc_id stands alone (component_id null, kept); texts of any length are read whole; among leads
+that tie the least doc_id is taken; an empty table gives an empty table. Extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHasher, chunks, mix, odd_constants, release, text_buffer
-from .components import connected_components
+from .components import joined_components
 
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, tag long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
 #: Cells of the parity sketch: in how many two sets differ is at most the size of their symmetric difference.
 PARITY = 1024
 SETS = "doc_id long, n_shingles long, shingles array<long>"
@@ -95,7 +97,7 @@ def superminhash(sets: list, slots: int, block: int = 1 << 15):
     return out
 
 
-def signatures(docs: DataFrame, width: int, bands: int, rows: int, slots: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, bands: int, rows: int, slots: int, tag: Column) -> DataFrame:
     """Set size, a 128-bit digest of the set, a hash of each band, and a sketch, for every row.
 
     The sketch has four bits of each slot, and for each of PARITY cells the parity of the elements in it.
@@ -120,13 +122,13 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, slots: int) -
                 sketch = np.ascontiguousarray(np.c_[sketch, parity])
                 packed = pa.ListArray.from_arrays(np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32), sketch.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(digest[0], pa.int64()), pa.array(digest[1], pa.int64()), listed, packed],
-                    ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
+                    [batch.column(0).slice(at, len(part)), batch.column(2).slice(at, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(digest[0], pa.int64()), pa.array(digest[1], pa.int64()), listed, packed],
+                    ["doc_id", "tag", "n_shingles", "d1", "d2", "bands", "sketch"],
                 )
                 at += len(part)
             release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), tag.cast("long").alias("tag")).mapInArrow(run, SIGNATURE)
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -167,8 +169,8 @@ def differing_cells(a: str, b: str, first: int) -> Column:
     return total
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, slots: int = 128, leads: int = 2) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, slots: int = 128, leads: int = 2, tag: str | None = None) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept (and ``tag``, a column of longs).
 
     Documents with equal sets collapse to their least doc_id. Representatives meet in buckets of equal
     bands: at a similarity of 0.8, 32 bands of 4 rows miss a pair with probability (1 - 0.8^4)^32, below
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows_ = scratch.write(signatures(docs, width, bands, rows, slots), "signatures")
+    rows_ = scratch.write(signatures(docs, width, bands, rows, slots, F.col(tag) if tag else F.lit(0)), "signatures")
     whole = rows_.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.write(whole.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     first = whole.join(reps.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
@@ -210,11 +212,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
         both = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-        links = scratch.write(both.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b").distinct(), f"links-{name}")
+        # no distinct here: it would be computed in the join's own partitions, and a hot document in one task
+        links = scratch.write(both.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b"), f"links-{name}")
         scratch.drop(f"sets-{name}")
         return links
 
-    links, comps, led = None, None, None
+    comps, led = None, None
     for r in range(leads + 1):
         if comps is None:
             named = shared.withColumn("comp", F.col("v"))
@@ -243,11 +246,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(pairs, str(r))
         if not new.isEmpty():
-            links = new if links is None else links.unionAll(new)
-            comps = connected_components(links, scratch, f"comps-{r}")
+            comps = joined_components(comps, new, scratch, f"comps-{r}")
     if comps is None:
         comps = spark.createDataFrame([], "v long, comp long")
     final = reps.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     out = rows_.join(final, ["d1", "d2"], "left")
+    scratch.keep("signatures", "classes", *[n for n in scratch.names if n.startswith("comps-")])
     comp = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", *(["tag"] if tag else []), "n_shingles", comp.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
