@@ -2,14 +2,20 @@
 
 Texts and templates are read as five-word shingles. Templates are classed by length; for each class the
 shingles of a text are cut into windows that overlap so far that any stretch of a template's length lies
-within one. Each of the bands is one MinHash value; a window and a template that share a band's value are
-compared exactly, and the template is reported if the window holds 0.8 of its shingles or more. A whole
-template in a window has a similarity of 0.4 at least; 24 bands of one row then miss it with probability
-(1 - 0.4)^24, below 1e-5; at 0.8 containment, below 1e-4. Windows that share no shingle with any template
-cannot agree in a band, so texts without any common shingle are passed over before windows are made.
-
-Defined results: null, empty and short texts report nothing; repeated rows get equal results; a template
-of fewer than five words is one shingle; extra columns are ignored.
+within one. Each band is one MinHash value. Bands of windows are joined by (class, band, value) with the bands of
+the templates; a window and a template that meet are compared exactly, and the template is reported if the window
+holds 0.8 of its shingles or more. A window has at most 2.5 times a template's shingles, so one that holds 0.8 of
+them has a similarity of 0.29 or more, and 32 bands of one row miss it with probability below 2e-5.
+
+Two tests that lose nothing come first. A text can hold 0.8 of a template's shingles only if it has a word of any
+set of words whose shingles are more than 0.2 of the template's: for each template such a set is chosen, longest
+words first, and texts without any of these words are not cut into shingles. Windows that share no shingle with any
+template cannot agree in a band and get none.
+
+Defined results: null, empty and short texts report nothing; very long texts are read whole; repeated rows get
+equal results; a null doc_id is a key like any other; a template of fewer than five words is one shingle; templates
+that tie are all reported, in order of name; an empty table gives an empty table; extra columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,90 +23,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Notices by which works name their licenses.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-    "LGPL": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    "AGPL": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+from .common import Scratch
+from .license_texts import TEMPLATES
 
 WIDTH = 5
-BANDS = 24
-#: Templates are constants of the plan: beyond this many shingles, split them over several calls.
+BANDS = 32
+#: Templates are broadcast: beyond this many shingles (8 bytes each, and their bands) a call raises; split them over several.
 MAX_TEMPLATE_SHINGLES = 50_000
+FOUND = "array<struct<name:string,containment:double,start:int,end:int>>"
 
 
-def shingled(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """df's columns ``keep`` and h, the hashes of the five-word shingles of a text, in order.
+def words_of(low: Column) -> Column:
+    """Runs of letters and digits of a lower-cased text."""
+    return F.filter(F.split(low, r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
 
-    Words are runs of letters and digits, lower-cased. Generators hold the words and the hashes, as an
-    expression within a lambda would be computed again for each element.
-    """
-    split = F.filter(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
-    words = df.select(*keep, F.explode(F.array(split)).alias("words"))
-    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - WIDTH, F.lit(0))), lambda i: F.xxhash64(F.slice(F.col("words"), i + 1, WIDTH)))
-    return words.select(*keep, F.explode(F.array(F.when(F.size("words") == 0, F.array().cast("array<bigint>")).otherwise(hashes))).alias("h"))
 
+def shingles_of(words: Column) -> Column:
+    """Hashes of the five-word shingles, in order; of fewer words, of all of them."""
+    hashes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - WIDTH, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, WIDTH)))
+    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(hashes)
 
-def band_keys(shingles: Column) -> Column:
-    """The least value of each of the permutations, keyed by its band."""
-    mins = F.transform(F.array(*[F.lit(k) for k in range(BANDS)]), lambda k: F.xxhash64(k, F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, k)))))
-    return mins
 
+def band_values(shingles: Column) -> Column:
+    """The least value of each of the permutations, an array by band."""
+    return F.transform(F.array(*[F.lit(k) for k in range(BANDS)]), lambda k: F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, k))))
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> list:
-    """(name, shingles, bands) of each template, computed by the same expressions; bounded by its check."""
-    df = spark.createDataFrame(list(templates.items()), "name string, text string")
-    rows = shingled(df, F.col("text"), "name").select("name", F.array_distinct("h").alias("h")).select("name", "h", band_keys(F.col("h")).alias("b")).collect()
-    if sum(len(r["h"]) for r in rows) > MAX_TEMPLATE_SHINGLES:
-        raise ValueError("too many template shingles for one call")
-    return [r for r in rows if r["h"]]
+
+def class_of(n: int) -> int:
+    """The length class of a template of n shingles: the next power of two."""
+    return 1 << (n - 1).bit_length()
 
 
-def class_hits(size: int, rows: list, containment: float) -> tuple[Column, Column]:
-    """Verified templates of one length class in the windows over column h, and the number of windows."""
+def window_of(size: int) -> tuple[int, int]:
+    """Stride and length of a class's windows: ``size`` shingles in a row lie within one of them."""
     stride = max(1, size // 4)
-    reach = size + stride - 1
-    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - reach, F.lit(0)) + stride - 1, F.lit(stride))
-    signed = F.transform(F.transform(starts, lambda i: F.struct(i.alias("i"), F.slice(F.col("h"), i + 1, reach).alias("w"))), lambda c: F.struct(c["i"].alias("i"), c["w"].alias("w"), band_keys(c["w"]).alias("b")))
-    known = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.array(*[F.lit(x) for x in r["h"]]).alias("h"), F.array(*[F.lit(x) for x in r["b"]]).alias("b")) for r in rows])
+    return stride, size + stride - 1
 
-    def hits(c):
-        near = F.filter(known, lambda t: F.arrays_overlap(t["b"], c["b"]))
-        scored = F.transform(near, lambda t: F.struct(t["name"].alias("name"), (F.size(F.array_intersect(t["h"], c["w"])) / F.size(t["h"])).alias("containment"), c["i"].alias("start"), (c["i"] + F.size(c["w"]) + WIDTH - 1).alias("end")))
-        return F.filter(scored, lambda x: x["containment"] >= containment)
 
-    return F.flatten(F.transform(signed, hits)), F.size(starts)
+def telling_words(templates: list, containment: float) -> list[str]:
+    """Words of which a text that holds ``containment`` of any template has at least one.
+
+    templates: (words, shingle hashes in order). A template's words are taken longest first until the shingles
+    that hold one of them are too many to be missing.
+    """
+    chosen: set[str] = set()
+    for words, hashes in templates:
+        kinds = len(set(hashes))
+        spans = [words[i : i + WIDTH] for i in range(len(hashes))]
+
+        def held(taken):
+            return len({h for h, span in zip(hashes, spans, strict=True) if not taken.isdisjoint(span)})  # noqa: B023
+
+        mine: set[str] = chosen & set(words)
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            if kinds - held(mine) < containment * kinds - 1e-9:
+                break
+            mine.add(w)
+        chosen |= mine
+    return sorted(chosen)
+
+
+def template_rows(spark: SparkSession, templates: dict[str, str]) -> list:
+    """(name, words, hashes in order, distinct hashes, bands) of each template, by the expressions that texts are read with; bounded by its check."""
+    df = spark.createDataFrame(list(templates.items()), "name string, text string").select("name", words_of(F.lower("text")).alias("words"))
+    df = df.select("name", "words", shingles_of(F.col("words")).alias("hashes")).withColumn("h", F.array_distinct("hashes"))
+    rows = [r for r in df.withColumn("bands", band_values(F.col("h"))).collect() if r["h"]]
+    if sum(len(r["h"]) for r in rows) > MAX_TEMPLATE_SHINGLES:
+        raise ValueError("too many template shingles for one call")
+    return rows
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_windows, licenses (name, containment, word span), names."""
-    table = template_table(docs.sparkSession, templates or TEMPLATES)
-    kind = "array<struct<name:string,containment:double,start:int,end:int>>"
-    every = F.array(*[F.lit(x) for x in sorted({x for r in table for x in r["h"]})]) if table else F.array().cast("array<bigint>")
-    read = shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), F.col("text"), "doc_id")
-    read = read.select("doc_id", F.explode(F.array(F.when(F.arrays_overlap("h", every), F.col("h")).otherwise(F.array().cast("array<bigint>")))).alias("h"))
-    classes: dict[int, list] = {}
-    for r in table:
-        classes.setdefault(1 << (len(r["h"]) - 1).bit_length(), []).append(r)
-    found, windows = [], []
-    for size, rows in sorted(classes.items()):
-        hits, count = class_hits(size, rows, containment)
-        found.append(F.when(F.size("h") > 0, hits).otherwise(F.array().cast(kind)))
-        windows.append(F.when(F.size("h") > 0, count).otherwise(0))
-    spans = F.concat(*found) if found else F.array().cast(kind)
-    count = sum(windows[1:], windows[0]) if windows else F.lit(0)
-    out = read.select("doc_id", count.cast("long").alias("n_windows"), F.explode(F.array(spans)).alias("licenses"))
-    return out.select("doc_id", "n_windows", "licenses", F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["name"]))).alias("names"))
+    """One row per row of docs(doc_id, text): doc_id, licenses (name, containment, word span) by start, and their names."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    rows = template_rows(spark, templates or TEMPLATES)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.lower(text).alias("low"))
+    telling = F.lit(False)
+    for w in telling_words([(r["words"], r["hashes"]) for r in rows], containment):
+        telling = telling | F.col("low").contains(w)
+    every = F.array(*[F.lit(x) for x in sorted({x for r in rows for x in r["h"]})]) if rows else F.array().cast("array<bigint>")
+    none = F.array().cast("array<bigint>")
+    # generators of one element hold the words and the hashes, as an expression within a lambda would be computed again for each element
+    cut = read.select("doc_id", "digest", F.explode(F.array(F.when(telling, words_of(F.col("low"))).otherwise(F.array().cast("array<string>")))).alias("words"))
+    cut = cut.select("doc_id", "digest", F.explode(F.array(shingles_of(F.col("words")))).alias("h"))
+    parts = scratch.write(cut.select("doc_id", "digest", F.when(F.arrays_overlap("h", every), F.col("h")).otherwise(none).alias("h")), "parts")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("k")
+    sizes = sorted({class_of(len(r["h"])) for r in rows}) or [1]
+    classes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(window_of(s)[0]).alias("stride"), F.lit(window_of(s)[1]).alias("reach")) for s in sizes])
+    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - F.col("c.reach"), F.lit(0)) + F.col("c.stride") - 1, F.col("c.stride"))
+    windows = parts.where(F.size("h") > 0).select(key, "digest", "h", F.explode(classes).alias("c")).select("k", "digest", "h", "c.size", "c.reach", F.explode(starts).alias("i"))
+    windows = windows.select("k", "digest", "size", "i", F.slice("h", F.col("i") + 1, F.col("reach")).alias("w")).where(F.arrays_overlap("w", every))
+    banded = windows.select("k", "digest", "size", "i", "w", F.posexplode(band_values(F.col("w"))).alias("band", "value"))
+    index = spark.createDataFrame([(r["name"], class_of(len(r["h"])), b, v, r["h"]) for r in rows for b, v in enumerate(r["bands"])], "name string, size int, band int, value long, t array<long>")
+    met = banded.join(F.broadcast(index), ["size", "band", "value"])  # of at most MAX_TEMPLATE_SHINGLES templates
+    share = F.size(F.array_intersect("t", "w")) / F.size("t")
+    hits = met.select("k", "digest", "name", share.alias("containment"), F.col("i").alias("start"), (F.col("i") + F.size("w") + WIDTH - 1).alias("end")).where(F.col("containment") >= containment)
+    found = hits.groupBy("k", "digest").agg(F.sort_array(F.collect_set(F.struct("start", "name", "containment", "end"))).alias("hits"))
+    out = parts.select("doc_id", key, "digest").join(found, ["k", "digest"], "left")
+    licenses = F.transform("hits", lambda x: F.struct(x["name"].alias("name"), x["containment"].alias("containment"), x["start"].alias("start"), x["end"].alias("end")))
+    out = out.select("doc_id", F.coalesce(licenses, F.array().cast(FOUND)).alias("licenses"))
+    return out.select("doc_id", "licenses", F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["name"]))).alias("names"))

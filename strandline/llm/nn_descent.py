@@ -10,9 +10,13 @@ emitting pairs; the others are then linked among themselves. A bounded sample of
 brute force, each vector with links counting alike; below the target recall, further buckets and rounds are
 added, and when these end below it, all vectors that are left are compared.
 
+A vector that stands in many groups would get a list from each of them: a task merges its lists to the best ones
+of each vector before they are shuffled, so a hub gets one list from each task.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 with a null label, link with nothing; rows that repeat a vec_id count as one vector (the least label and
-embedding); a null vec_id stands alone; other columns are ignored.
+embedding); a null vec_id stands alone; vectors that tie are taken in order of vec_id; an empty table gives an
+empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -83,25 +87,52 @@ def first_lists(vectors: DataFrame, tables: int, seed: int, k: int, floor: float
 
 
 def all_pairs(k: int, floor: float):
-    """For rows (ids, vectors) of bounded groups: every member's best k others of the group, from the floor up."""
+    """For rows (ids, vectors) of bounded groups: every member's best k others of all groups of the task, from the floor up."""
+
+    def best(parts):
+        """Of (v, u, cosine) triples: each pair once, each vector's k best."""
+        v, u, s = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.lexsort((u, -s, v))
+        v, u, s = v[by], u[by], s[by]
+        again = np.lexsort((u, v))  # a pair's cosine may differ in its last bits between groups; the first is the best
+        keep = np.ones(len(v), bool)
+        keep[again[1:]] = (v[again][1:] != v[again][:-1]) | (u[again][1:] != u[again][:-1])
+        v, u, s = v[keep], u[keep], s[keep]
+        head = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
+        rank = np.arange(len(v)) - np.maximum.accumulate(np.where(head, np.arange(len(v)), 0))
+        return v[rank < k], u[rank < k], s[rank < k]
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("v", pa.int64()), ("near", pa.list_(pa.struct([("s", pa.float64()), ("u", pa.int64())])))])
+        parts, held, size = [], 0, 0
+
+        def listed():
+            v, u, s = best(parts)
+            head = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+            near = pa.ListArray.from_arrays(np.r_[head, len(v)].astype(np.int32), pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array(u, pa.int64())], ["s", "u"]))
+            return pa.RecordBatch.from_arrays([pa.array(v[head], pa.int64()), near], ["v", "near"])
+
         for batch in batches:
-            out = {"v": [], "near": []}
             for ids, xs in zip(batch.column(0), batch.column(1), strict=True):
                 ids, m = np.asarray(ids.values), stack(xs.values)
                 s = m @ m.T
                 s[ids[:, None] == ids[None, :]] = -2
-                for r in np.flatnonzero(s.max(axis=1) >= floor).tolist():
-                    good = np.flatnonzero(s[r] >= floor)
-                    if len(good) > k:
-                        good = good[np.argpartition(-s[r, good], k - 1)[:k]]
-                    out["v"].append(int(ids[r]))
-                    out["near"].append([{"s": a, "u": b} for a, b in zip(s[r, good].tolist(), ids[good].tolist(), strict=True)])
-            yield pa.RecordBatch.from_pydict(out, schema)
+                if len(ids) > k + 1:  # no more than k of a row
+                    low = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
+                    i, j = np.nonzero(s >= np.maximum(low, floor)[:, None])
+                else:
+                    i, j = np.nonzero(s >= floor)
+                parts.append((ids[i], ids[j], s[i, j]))
+                held += len(i)
+                if held > max(1 << 20, 2 * size):
+                    parts = [best(parts)]
+                    held = size = len(parts[0][0])
+                    if size > 1 << 21:  # many vectors: what is merged so far goes on
+                        yield listed()
+                        parts, held, size = [], 0, 0
+        if parts:
+            yield listed()
 
     return run
 
@@ -113,8 +144,8 @@ def merged(lists: DataFrame, caps: DataFrame, threshold: float, max_list: int, k
     first = F.filter("all", lambda n, i: ~F.exists(F.slice("all", F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3))), lambda m: m["u"] == n["u"]))
     one = one.withColumn("all", first).join(caps, "v", "left").withColumn("cap", F.coalesce("cap", F.lit(k)))
     full = F.size(F.filter(F.slice("all", 1, F.col("cap")), lambda n: -n["s"] >= threshold)) >= F.col("cap")
-    one = one.withColumn("cap", F.when(full & (F.col("cap") < max_list), F.col("cap") * 2).otherwise(F.col("cap")).cast("int"))
-    return one.select("v", F.transform(F.slice("all", 1, F.col("cap")), lambda n: F.struct((-n["s"]).alias("s"), n["u"].alias("u"))).alias("near"), "cap")
+    one = one.withColumn("full", full).withColumn("cap", F.when(F.col("full") & (F.col("cap") < max_list), F.col("cap") * 2).otherwise(F.col("cap")).cast("int"))
+    return one.select("v", F.transform(F.slice("all", 1, F.col("cap")), lambda n: F.struct((-n["s"]).alias("s"), n["u"].alias("u"))).alias("near"), "cap", "full")
 
 
 def link_edges(graph: DataFrame, threshold: float) -> DataFrame:
@@ -159,7 +190,8 @@ def exact_links(members: DataFrame, live: DataFrame, threshold: float) -> DataFr
                 out["low"].append(math.cos(angle) - 1e-7 if angle < math.pi else -2.0)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("comp", pa.int64()), ("block", pa.int32()), ("cell", pa.string()), ("c", pa.list_(pa.float64())), ("low", pa.float64())]))
 
-    held = put.groupBy("comp", "block").agg(F.min("cell").alias("cell"), F.collect_list("x").alias("xs"))
+    # dealt by block, as a group that holds a third of all rows would else stay in the task that counted it
+    held = put.repartition("comp", "block").groupBy("comp", "block").agg(F.min("cell").alias("cell"), F.collect_list("x").alias("xs"))
     centres = held.mapInArrow(centre, "comp long, block int, cell string, c array<double>, low double")
     parts = centres.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     parts = parts.join(live.groupBy("cell").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("chunks")), "cell")
@@ -282,7 +314,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: i
         lists, caps, step = graph.select("v", "near"), graph.select("v", "cap"), step + 1
         edges = scratch.write(link_edges(graph, threshold), f"edges-{again}")
         comps = connected_components(edges, scratch, f"comps-{again}")
-        full = graph.where(F.size(F.filter("near", lambda x: x["s"] >= threshold)) >= F.least("cap", F.lit(max_list))).select("v")
+        full = graph.where("full").select("v")  # at the length it had: rounds may have ended before it was tried at twice that
         dense = comps.join(full, "v", "left_semi").select("comp").distinct()
         members = scratch.write(comps.join(dense, "comp", "left_semi").withColumnRenamed("v", "vec_id").join(live, "vec_id").select("comp", "vec_id", "cell", "x", "w"), f"members-{again}")
         settled = not members.isEmpty()
@@ -310,5 +342,6 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: i
     comps = connected_components(functools.reduce(DataFrame.unionAll, bonds), scratch, "comps").toDF("vec_id", "comp")
     classes = vectors.join(total, "vec_id", "left").join(comps, "vec_id", "left").select("cell", "x", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("comp", "vec_id").alias("comp"))
     each = scratch.write(rows.join(classes, ["cell", "x"]).select("vec_id", "n", "comp"), "each")
+    scratch.keep("each")
     out = df.select(F.col("vec_id").cast("long").alias("vec_id")).join(each, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"), F.lit(recall).alias("recall")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).select("vec_id", "n_links", "component_id", "kept", "recall")
