@@ -33,6 +33,14 @@ def nfkc(x):
     return x.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def nfkc_words(x):
+    """NFKC, stripped, of arrays of arrays of strings; null stays null."""
+    import unicodedata
+
+    return x.map(lambda a: None if a is None else [[None if v is None else unicodedata.normalize("NFKC", v).strip() for v in b] for b in a])
+
+
 def word_text(x: Column) -> Column:
     return strip(nfkc(x))
 
