@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as lx
-from ..functions.text import any_of, readable, srt_block
+from ..functions.text import readable, srt_block
+from ..schema import good_range
 from .sequence import greedy_pairs, ordered, renumber
 
 
@@ -20,7 +21,9 @@ def build_cues(segments: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def should_merge(w, max_gap=lx.MERGE_GAP, max_chars=lx.MERGE_CHARS, marks=lx.TERMINAL_MARKS, suffixes=lx.FINAL_SUFFIXES) -> Column:
     gap = F.lead("start").over(w) - F.col("end")
-    closed = F.col("text").rlike(any_of((*marks, *suffixes)) + "$")
+    closed = F.lit(False)
+    for word in (*marks, *suffixes):
+        closed = closed | F.col("text").endswith(word)
     fits = F.length(F.concat(F.col("text"), F.lead("text").over(w))) <= max_chars
     same = F.col("speaker_id").eqNullSafe(F.lead("speaker_id").over(w)) & F.lead("start").over(w).isNotNull()
     return (gap >= 0) & (gap <= max_gap) & fits & ~closed & same
@@ -40,13 +43,14 @@ def normalise_cues(cues: DataFrame, **rule) -> DataFrame:
 
 
 def issues(rows: DataFrame, key: str, number: str, base: int, what: tuple[str, str, str], order: str = "ord") -> DataFrame:
-    """Duplicate numbers, gaps in numbering and overlaps of neighbours, as rows (key, code, location)."""
+    """Duplicate numbers, gaps in numbering, overlaps of neighbours and times that cannot be, as rows (key, code, location)."""
     dup = rows.groupBy(key, number).count().where("count > 1").select(key, F.lit(what[0]).alias("code"), F.col(number).cast("long").alias("location"))
     whole = rows.groupBy(key).agg(F.count_distinct(number).alias("d"), F.count("*").alias("n"), F.min(number).alias("lo"), F.max(number).alias("hi"))
     gap = whole.where(f"not (d = n and lo = {base} and hi = {base} + n - 1)").select(key, F.lit(what[1]).alias("code"), F.lit(None).cast("long").alias("location"))
     w = Window.partitionBy(key).orderBy(order)
     over = rows.withColumn("_p", F.lag("end").over(w)).where("start < _p").select(key, F.lit(what[2]).alias("code"), F.col(number).cast("long").alias("location"))
-    return dup.unionByName(gap).unionByName(over)
+    bad = rows.where(~good_range(F.col("start").cast("double"), F.col("end").cast("double"))).select(key, F.lit("invalid_time_range").alias("code"), F.col(number).cast("long").alias("location"))
+    return dup.unionByName(gap).unionByName(over).unionByName(bad)
 
 
 def segment_issues(segments: DataFrame, key: str = "doc_id", order: str = "ord") -> DataFrame:
@@ -58,6 +62,18 @@ def cue_issues(cues: DataFrame, key: str = "doc_id", order: str = "ord") -> Data
 
 
 def srt_documents(cues: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, srt): the cues of each document as one text; times in seconds."""
-    rows = cues.select(key, "index", srt_block(F.col("index"), F.col("start"), F.col("end"), F.col("text")).alias("block"))
-    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "block"))), lambda x: x["block"]), "").alias("srt"))
+    """(key, srt): the cues of each document as one text, times in seconds; null where a cue has no valid time, as no cue may go missing."""
+    return cue_report(cues, key).select(key, "srt")
+
+
+def cue_report(cues: DataFrame, key: str = "doc_id", order: str = "index") -> DataFrame:
+    """(key, n_cues, n_issues, srt) with one window and one aggregation: what cue_issues counts and srt_documents writes."""
+    w = ordered([key], [order])
+    block = F.when(good_range(F.col("start"), F.col("end")), srt_block(F.col("index"), F.col("start"), F.col("end"), F.col("text")))
+    rows = cues.select(key, "index", F.coalesce(F.col("start") < F.lag("end").over(w), F.lit(False)).alias("over"), block.alias("block"))
+    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("index", "block"))).alias("a"), F.count("*").alias("n_cues"), F.sum(F.col("over").cast("long") + F.col("block").isNull().cast("long")).alias("n"))
+    numbers, blocks = F.transform("a", lambda x: x["index"].cast("long")), F.transform("a", lambda x: x["block"])
+    again = F.size(F.array_distinct(F.filter(F.transform(numbers, lambda x, i: F.when(x == F.get(numbers, i - 1), x)), lambda x: x.isNotNull())))
+    gap = (numbers != F.sequence(F.lit(1).cast("long"), F.col("n_cues"))).cast("long")
+    whole = F.when(~F.exists(blocks, lambda b: b.isNull()), F.array_join(blocks, ""))
+    return g.select(key, "n_cues", (F.col("n") + again + gap).alias("n_issues"), whole.alias("srt"))

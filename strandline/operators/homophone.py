@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicons as lx
-from ..functions.text import has_japanese, has_kanji
+from ..functions.text import has_japanese, has_kanji, word_text
 
 
 def pos_at(pos: Column, i: int) -> Column:
@@ -35,14 +36,17 @@ def whole_candidates(targets: DataFrame, lexicon: DataFrame, target: list[str],
 def composed_candidates(targets: DataFrame, pieces: DataFrame, target: list[str], max_pieces: int = 3, limit=lx.MAX_LEXICAL) -> DataFrame:
     """Surfaces of up to three lexicon pieces whose readings add up to the target's, in order of their paths.
 
-    Pieces join on the first character of what is left of the reading; a path ends when nothing is left.
+    Pieces join on each prefix of what is left of the reading; a path ends when nothing is left.
     pieces(surface, reading) are ordered by length of reading, then surface, as a depth-first visit takes them.
     """
-    p = pieces.where("reading <> ''").select(F.substring("reading", 1, 1).alias("_f"), F.col("reading").alias("_r"), F.col("surface").alias("_s"), F.struct(F.length("reading").alias("n"), F.col("surface").alias("s")).alias("_k"))
+    p = pieces.where("reading <> ''").select(F.col("reading").alias("_r"), F.col("surface").alias("_s"), F.struct(F.length("reading").alias("n"), F.col("surface").alias("s")).alias("_k"))
+    most = pieces.agg(F.coalesce(F.max(F.length("reading")), F.lit(1)).alias("_most"))
     live = targets.select(*target, "text", F.col("reading").alias("_left"), F.lit("").alias("candidate"), F.array().cast("array<struct<n:int,s:string>>").alias("path"))
     done = None
     for _ in range(max_pieces):
-        live = live.withColumn("_f", F.substring("_left", 1, 1)).join(p, "_f").where(F.startswith(F.col("_left"), F.col("_r")))
+        # each prefix that a piece can have, joined on the whole reading of the piece
+        live = live.where("_left <> ''").withColumn("_most", most.scalar()).withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("_left"), F.col("_most")))))
+        live = live.withColumn("_r", F.substring(F.col("_left"), F.lit(1), F.col("_n"))).join(p, "_r")
         live = live.select(*target, "text", F.substring(F.col("_left"), F.length("_r") + 1, F.length("_left")).alias("_left"), F.concat("candidate", "_s").alias("candidate"), F.concat("path", F.array("_k")).alias("path"))
         ended = live.where("_left = ''").drop("_left")
         done = ended if done is None else done.unionByName(ended)
@@ -90,10 +94,125 @@ def apply_text_changes(sentences: DataFrame, changes: DataFrame, key: list[str])
 
 
 def surface_confidence(targets: DataFrame, words: DataFrame, key: list[str]) -> DataFrame:
-    """targets with the least confidence of the first run of words that spells their text (null: none)."""
-    a = words.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "confidence"))).alias("w"))
+    """targets with the least confidence of the first run of words that spells their text (null: none).
+
+    A run begins and ends where words do, so only the starts of words are tried, at one comparison each.
+    """
+    word = F.struct("word_idx", "text", "confidence", F.sum(F.length("text")).over(Window.partitionBy(*key).orderBy("word_idx")).cast("int").alias("to"))
+    a = words.select(*key, word.alias("w")).groupBy(*key).agg(F.array_sort(F.collect_list("w")).alias("w"))
+    a = a.withColumn("_j", F.array_join(F.transform("w", lambda x: x["text"]), ""))
     t = targets.join(a, key, "left")
-    starts = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.size("w") - i + 1), lambda n: F.slice("w", i, n))))
-    first = F.get(F.filter(runs, lambda r: F.array_join(F.transform(r, lambda x: x["text"]), "") == F.col("text")), F.lit(0))
-    return t.withColumn("asr_confidence", F.array_min(F.transform(first, lambda x: x["confidence"]))).drop("w")
+    first = F.transform("w", lambda x: x["to"] - F.length(x["text"]))
+    fits = F.filter(first, lambda at: (F.substring(F.col("_j"), at + 1, F.length("text")) == F.col("text")) & F.exists("w", lambda x: x["to"] == at + F.length("text")))
+    at = F.get(fits, F.lit(0))
+    run = F.filter("w", lambda x: (x["to"] - F.length(x["text"]) >= at) & (x["to"] <= at + F.length("text")))
+    return t.withColumn("asr_confidence", F.array_min(F.transform(run, lambda x: x["confidence"]))).drop("w", "_j")
+
+
+@F.udf(T.ArrayType(T.StructType().add("text", "string").add("start", "double").add("end", "double").add("confidence", "double").add("speaker_id", "string")), useArrow=True)
+def changed_words(words, changes):
+    """A sentence's words after accepted changes, in their order: each takes the first words, one or a run, that spell its original.
+
+    A run becomes one word of its whole range, least confidence and first speaker. A change whose result the word
+    before already is counts as made and leaves its word as it was.
+    """
+    out, pending, i = [], list(changes or []), 0
+    words = list(words or [])
+    while i < len(words):
+        for c in pending:
+            j, spelled = i, ""
+            while j < len(words) and len(spelled) < len(c["original"]):
+                spelled, j = spelled + words[j]["text"], j + 1
+            if spelled != c["original"]:
+                continue
+            run, word = words[i:j], dict(words[i] if isinstance(words[i], dict) else words[i].asDict())
+            if len(run) > 1 or not (out and out[-1]["text"] == c["selected"]):
+                sure = [w["confidence"] for w in run if w["confidence"] is not None]
+                word |= {"text": c["selected"], "end": run[-1]["end"], "confidence": min(sure) if sure else None}
+            out.append(word)
+            pending.remove(c)
+            i = j
+            break
+        else:
+            out.append(dict(words[i] if isinstance(words[i], dict) else words[i].asDict()))
+            i += 1
+    return out
+
+
+def geometric_mean(probabilities: Column, least: float = 1e-12) -> Column:
+    """Of an array of token probabilities; a single one is returned as it is."""
+    logs = F.aggregate(F.transform(probabilities, lambda p: F.ln(F.greatest(p, F.lit(least)))), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(probabilities) == 1, F.get(probabilities, F.lit(0))).otherwise(F.exp(logs / F.size(probabilities)))
+
+
+def vocabulary_rank(token_ids: Column, size: int) -> Column:
+    """How rare a text's tokens are: the mean id as a share of the vocabulary, 1 at most and without tokens."""
+    total = F.aggregate(token_ids, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(token_ids) > 0, F.least(total / F.size(token_ids) / size, F.lit(1.0))).otherwise(F.lit(1.0))
+
+
+def top_tokens(tokens: DataFrame, target: list[str], k: int = 80) -> DataFrame:
+    """The k likeliest of a model's tokens(text, score) for each target, a text once, with ``ord`` from 0."""
+    best = tokens.groupBy(*target, "text").agg(F.max("score").alias("score"))
+    w = Window.partitionBy(*target).orderBy(F.col("score").desc(), "text")
+    return best.withColumn("ord", F.row_number().over(w) - 1).where(F.col("ord") < k)
+
+
+def clean_vocabulary(tokens: DataFrame, special: tuple[str, ...] = ()) -> DataFrame:
+    """Usable texts of a model's vocabulary(ord, token): without word-piece marks and spaces, Japanese only, each once."""
+    text = F.regexp_replace(word_text(F.regexp_replace("token", "^##", "")), " ", "")
+    rows = tokens.where(~F.col("token").isin(*special) if special else F.lit(True)).withColumn("surface", text)
+    rows = rows.where(has_japanese(F.col("surface")) & ~F.col("surface").rlike(r"[\[\]]"))
+    return rows.groupBy("surface").agg(F.min("ord").alias("ord"))
+
+
+def lexical_candidates(targets: DataFrame, lexicon: DataFrame, target: list[str], limit=lx.MAX_LEXICAL) -> DataFrame:
+    """(target, candidate, rank): entries with a target's reading, then compositions of up to three pieces, under one limit.
+
+    A composition must itself be an entry of equal reading, compatible class and script; whole entries are taken as they are.
+    """
+    whole = whole_candidates(targets, lexicon, target, limit).select(*target, "candidate", F.lit(0).alias("phase"), "rank")
+    entry = lexicon.groupBy(F.col("surface").alias("candidate")).agg(F.min(F.struct("ord", "reading", "pos")).alias("e")).select("candidate", F.col("e.reading").alias("c_reading"), F.col("e.pos").alias("c_pos"))
+    made = composed_candidates(targets, lexicon.select("surface", "reading").distinct(), target, limit=1 << 30).drop("text").join(entry, "candidate").join(targets.select(*target, "text", "reading", "pos"), target)
+    made = made.where((F.col("c_reading") == F.col("reading")) & compatible(F.col("text"), F.col("pos"), F.col("candidate"), F.col("c_pos")))
+    both = whole.unionByName(made.select(*target, "candidate", F.lit(1).alias("phase"), "rank")).groupBy(*target, "candidate").agg(F.min(F.struct("phase", "rank")).alias("o"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy(*target).orderBy("o"))).where(F.col("rank") <= limit).drop("o")
+
+
+def resolve(sentences: DataFrame, morphemes: DataFrame, lexicon: DataFrame, scores: DataFrame, model: DataFrame | None = None, key: tuple[str, ...] = ("doc_id", "position", "sentence_index"), targets_each=lx.TARGETS_PER_SENTENCE, prefilter_targets: bool = True, eligible_script=has_japanese, **rule) -> tuple[DataFrame, DataFrame]:
+    """Same-reading corrections of sentences(key, text, words), and one decision for each target that was looked at.
+
+    morphemes(key, start, end, surface, reading, pos) are an analyser's tokens; lexicon(ord, surface, reading, pos,
+    vocab_rank); scores(key, start, text, score) are a language model's, of originals and candidates; model(key,
+    start, ord, text, score) are its own proposals, which go before lexical ones. A candidate must be a single token
+    of the lexicon, of equal reading, compatible class and script. Without prefilter the first targets of a sentence are taken.
+    """
+    key, tk = list(key), [*key, "start"]
+    t = morphemes.where(eligible(F.col("surface"), F.col("pos"), script=eligible_script)).select(*tk, "end", F.col("surface").alias("text"), "reading", "pos")
+    entry = lexicon.groupBy(F.col("surface").alias("text")).agg(F.min(F.struct("ord", "reading", "pos", "vocab_rank")).alias("e"))
+    own = scores.select(*tk, "text", F.col("score").alias("original_score"))
+    t = t.join(own, [*tk, "text"], "left").join(entry.select("text", F.col("e.vocab_rank").alias("vocab_rank")), "text", "left").withColumn("vocab_rank", F.coalesce("vocab_rank", F.lit(1.0)))
+    if prefilter_targets:
+        lexical = lexical_candidates(t, lexicon, tk)
+        t = t.join(lexical.groupBy(*tk).agg(F.count("*").alias("candidate_count")), tk)
+        words = sentences.select(*key, F.posexplode("words").alias("word_idx", "w")).select(*key, "word_idx", "w.text", "w.confidence")
+        t = prefilter(surface_confidence(t, words, key), key, targets_each)
+    else:
+        t = t.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("start"))).where(F.col("rank") <= targets_each)
+        lexical = lexical_candidates(t, lexicon, tk)
+    told = lexical.select(*tk, F.col("candidate").alias("text"), F.lit(1).alias("phase"), F.col("rank").alias("ord")).join(scores.where("score is not null"), [*tk, "text"])
+    if model is not None:
+        told = told.unionByName(model.select(*tk, "text", F.lit(0).alias("phase"), "ord", "score"))
+    told = told.groupBy(*tk, "text").agg(F.min_by("score", F.struct("phase", "ord")).alias("score"), F.min(F.struct("phase", "ord")).alias("o"))
+    near = told.withColumnRenamed("text", "c_text").join(entry.select(F.col("text").alias("c_text"), F.col("e.reading").alias("c_reading"), F.col("e.pos").alias("c_pos")), "c_text").join(t.select(*tk, "text", "reading", "pos"), tk)
+    near = near.where((F.col("c_text") != F.col("text")) & (F.col("c_reading") == F.col("reading")) & compatible(F.col("text"), F.col("pos"), F.col("c_text"), F.col("c_pos")))
+    near = near.withColumn("ord", F.row_number().over(Window.partitionBy(*tk).orderBy("o")))
+    listed = near.groupBy(*tk).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(F.col("c_text").alias("text"), F.col("c_reading").alias("reading"), "score").alias("c")))), lambda x: x["c"]).alias("candidates"))
+    decisions = decide(t, near.select(*tk, "ord", F.col("c_text").alias("text"), "score"), tk, **rule).join(listed, tk, "left")
+    accepted = decisions.where("accepted")
+    texts = apply_text_changes(sentences, accepted.select(*key, "start", "end", "selected_text"), key)
+    changes = accepted.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(F.col("text").alias("original"), F.col("selected_text").alias("selected")).alias("c")))), lambda x: x["c"]).alias("_c"))
+    out = texts.join(changes, key, "left")
+    out = out.withColumn("words", F.when(F.col("_c").isNotNull(), changed_words("words", "_c")).otherwise(F.col("words"))).drop("_c")
+    cols = [*tk, "end", F.col("text").alias("original_text"), "reading", "rank", "accepted", "reason", "original_score", "selected_text", "selected_score", "candidates"]
+    return out, decisions.select(*cols)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicons as lx
-from ..functions.text import nfkc, safety_core, strip
+from ..functions.text import clean_output, nfkc, safety_core, strip
+from ..schema import SENTENCE, segment_speaker
+from .sequence import neighbours
 
 
 @F.pandas_udf(T.DoubleType())
@@ -46,8 +48,24 @@ def gate_repairs(df: DataFrame, original: str = "original_text", candidate: str
     return df.withColumn("selected_text", F.when(F.col("accepted"), F.col("_c")).otherwise(F.col("_o"))).drop("_o", "_c", "_a", "_b", "_s")
 
 
+def prompt(template: str, text: str = "text") -> Column:
+    """A template with {prev}, {text} and {next} filled in."""
+    out = F.lit(template)
+    for name, column in (("{prev}", "prev_text"), ("{text}", text), ("{next}", "next_text")):
+        out = F.replace(out, F.lit(name), F.col(column))
+    return out
+
+
 def repair_with(df: DataFrame, repair: Column, key: str, order: str) -> DataFrame:
-    """Asks a plugged-in model (a column over text, prev_text and next_text) and applies the gate."""
-    from .sequence import neighbours
+    """Asks a plugged-in model (a column over text, prev_text and next_text) and applies the gate; neighbours are the unrepaired texts."""
+    return gate_repairs(neighbours(df, [key], [order], "text").withColumn("candidate_text", clean_output(repair)), "text")
+
 
-    return gate_repairs(neighbours(df, [key], [order], "text").withColumn("candidate_text", repair), "text")
+def repair_segments(segments: DataFrame, repair: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Segments whose text is repaired, as one sentence with all their words, and the gate's decisions."""
+    rows = repair_with(segments, repair, key, "position")
+    decisions = rows.select(key, "position", F.col("text").alias("original_text"), "candidate_text", "accepted", "reason", "length_delta_ratio", "content_change_ratio", "selected_text")
+    words = F.flatten(F.transform(F.coalesce("sentences", F.array().cast(f"array<{SENTENCE}>")), lambda s: s["words"]))
+    one = F.struct(F.col("selected_text").alias("text"), "start", "end", segment_speaker().alias("speaker_id"), words.alias("words"))
+    out = rows.withColumn("sentences", F.array(one).cast(f"array<{SENTENCE}>")).withColumn("text", F.col("selected_text"))
+    return out.select(*segments.columns), decisions

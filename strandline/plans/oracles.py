@@ -68,25 +68,31 @@ ORACLE = {
     "str_readability": f"WITH {SEG}, r1 AS (SELECT doc_id, position, {readable('text')} AS text FROM segments), r2 AS (SELECT doc_id, position, {opened('text')} AS text FROM r1) SELECT doc_id, position, {squeezed('text')} AS text FROM r2",
     "fmt_srt": f"""WITH {SEG} SELECT doc_id, position, (position + 1) || chr(10) || {srt('"start"')} || ' --> ' || {srt('"end"')} || chr(10) || text || chr(10) || chr(10) AS block FROM segments WHERE "start" >= 0 AND "end" >= 0""",
     "explode_cues": f'WITH {CUES} SELECT doc_id, "index", "start", "end", speaker_id, text FROM cues',
-    "flagship_srt": f"""WITH {FLAG}, o AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, "start" < lag("end") OVER (PARTITION BY doc_id ORDER BY "index") AS bad FROM fin) WHERE bad GROUP BY ALL)
-SELECT doc_id, count(*) AS n_cues, coalesce(any_value(o.n), 0) AS n_issues, CAST(sum(CASE WHEN "start" < 0 OR "end" < 0 THEN 0 ELSE length(CAST("index" AS VARCHAR)) + length({srt('"start"')}) + length({srt('"end"')}) + length(text) + 9 END) AS BIGINT) AS srt_chars FROM fin LEFT JOIN o USING (doc_id) GROUP BY doc_id""",
+    "flagship_srt": f"""WITH {FLAG}, o AS (SELECT *, "start" < lag("end") OVER (PARTITION BY doc_id ORDER BY "index") AS over, "start" < 0 OR "end" < "start" AS bad FROM fin)
+SELECT doc_id, count(*) AS n_cues, count(*) FILTER (over) + count(*) FILTER (bad) AS n_issues, CAST(CASE WHEN bool_or(bad) THEN NULL ELSE sum(length(CAST("index" AS VARCHAR)) + length({srt('"start"')}) + length({srt('"end"')}) + length(text) + 9) END AS BIGINT) AS srt_chars FROM o GROUP BY doc_id""",
+    "json_doc": f"""WITH {SEG}, t AS (SELECT doc_id, position, speaker_id, text, "start" / 1000.0::DOUBLE AS s, "end" / 1000.0::DOUBLE AS e FROM segments),
+r AS (SELECT *, list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: {{'text': x, 'speaker_id': CAST(NULL AS VARCHAR), 'start_seconds': s, 'end_seconds': e, 'duration_seconds': e - s, 'words': CAST([] AS VARCHAR[])}}) AS lines FROM t),
+g AS (SELECT doc_id, list({{'position': position, 'text': text, 'speaker_id': speaker_id, 'start_seconds': s, 'end_seconds': e, 'duration_seconds': e - s, 'sentences': lines}} ORDER BY position) AS segments,
+list({{'index': position + 1, 'text': text, 'speaker_id': speaker_id, 'start_seconds': s, 'end_seconds': e, 'duration_seconds': e - s}} ORDER BY position) AS subtitles FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(to_json({{'schema_version': '1.0', 'source_path': 'in/' || doc_id || '.mp3', 'output_path': 'out/' || doc_id || '.json', 'run_id': 'transcribe-' || doc_id, 'segments': segments, 'subtitles': subtitles}}) AS VARCHAR) AS json FROM g""",
     "union_issues": f"""WITH {SEG}, u AS (SELECT doc_id, position, "start", "end", lag("end") OVER (PARTITION BY doc_id ORDER BY position) AS p FROM segments), k AS (SELECT doc_id, count(DISTINCT position) AS d, count(*) AS n, min(position) AS lo, max(position) AS hi FROM segments GROUP BY ALL)
 SELECT doc_id, 'duplicate_' || x AS code, position AS location FROM (SELECT doc_id, position FROM segments GROUP BY ALL HAVING count(*) > 1), (VALUES ('segment_position'), ('subtitle_index')) v(x)
 UNION ALL SELECT doc_id, 'gap_in_segment_positions', CAST(NULL AS BIGINT) FROM k WHERE NOT (d = n AND lo = 0 AND hi = n - 1)
 UNION ALL SELECT doc_id, 'gap_in_subtitle_indexes', CAST(NULL AS BIGINT) FROM k WHERE NOT (d = n AND lo = 1 AND hi = n)
-UNION ALL SELECT doc_id, 'overlapping_' || x, position FROM u, (VALUES ('segments'), ('subtitles')) v(x) WHERE "start" < p""",
+UNION ALL SELECT doc_id, 'overlapping_' || x, position FROM u, (VALUES ('segments'), ('subtitles')) v(x) WHERE "start" < p
+UNION ALL SELECT doc_id, 'invalid_time_range', position FROM u, (VALUES (1), (2)) v(x) WHERE "start" < 0 OR "end" < "start" """,
     "agg_argmax_overlap": f'WITH {ASSIGN} SELECT doc_id, assigned, count(*) AS n_words, min("start") AS first_start FROM assigned GROUP BY ALL',
     "join_interval": f'WITH {SEG}, {TURNS} SELECT s.doc_id, s.position, t.turn_idx, least(s."end", t.t_end) - greatest(s."start", t.t_start) AS overlap FROM segments s JOIN turns t ON s.doc_id = t.doc_id AND least(s."end", t.t_end) > greatest(s."start", t.t_start)',
     "win_speaker_runs": f'WITH {ASSIGN}, c AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR assigned IS NOT DISTINCT FROM lag(assigned) OVER w THEN 0 ELSE 1 END AS c FROM assigned WINDOW w AS (PARTITION BY doc_id, position ORDER BY word_idx)), r AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, position ORDER BY word_idx ROWS UNBOUNDED PRECEDING) AS run FROM c) SELECT doc_id, position, CAST(run AS BIGINT) AS run, min_by("start", word_idx) AS "start", max_by("end", word_idx) AS "end", any_value(assigned) AS speaker_id FROM r GROUP BY doc_id, position, run',
     "agg_concat": f"""WITH {WORDS} SELECT doc_id, position, string_agg(text, '' ORDER BY word_idx) AS text, min_by("start", word_idx) AS "start", max_by("end", word_idx) AS "end", CASE WHEN count(DISTINCT speaker_id) = 1 THEN max(speaker_id) END AS speaker_id FROM words GROUP BY doc_id, position""",
     "agg_contiguity": "SELECT l_orderkey, count(DISTINCT l_linenumber) = count(*) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS contiguous, count(*) - count(DISTINCT l_linenumber) AS repeats FROM lineitem GROUP BY ALL",
     "topk_prefilter": f"""WITH {WORDS} SELECT doc_id, position, word_idx, row_number() OVER (PARTITION BY doc_id, position ORDER BY coalesce(CASE WHEN length(text) % 3 <> 0 THEN length(text) / 16.0 END, 1.0), coalesce(CASE WHEN word_idx % 5 <> 0 THEN (word_idx % 7) / 8.0 END, 1.0), (unicode(text) % 8) DESC, (length(text) % 4) DESC, "start") AS rank FROM words QUALIFY rank <= 3""",
-    "join_equi_antiself": f"WITH {LEX} SELECT t.surface AS text, c.surface AS candidate, row_number() OVER (PARTITION BY t.surface ORDER BY c.ord) AS rank FROM lex t JOIN lex c ON t.reading = c.reading AND t.surface <> c.surface QUALIFY rank <= 5",
+    "join_equi_antiself": f"WITH {LEX} SELECT t.surface AS text, c.surface AS candidate, row_number() OVER (PARTITION BY t.surface ORDER BY c.ord) AS rank FROM lex t JOIN lex c ON t.reading = c.reading AND t.surface <> c.surface QUALIFY rank <= 64",
     "join_prefix": f"""WITH {LEX}, p AS (SELECT surface AS s, reading AS r FROM lex), t AS (SELECT surface AS text, reading FROM lex),
 c AS (SELECT text, a.s AS candidate, [{{'n': length(a.r), 's': a.s}}] AS path FROM t JOIN p a ON reading = a.r
 UNION ALL SELECT text, a.s || b.s, [{{'n': length(a.r), 's': a.s}}, {{'n': length(b.r), 's': b.s}}] FROM t JOIN p a ON starts_with(reading, a.r) JOIN p b ON reading = a.r || b.r
 UNION ALL SELECT text, a.s || b.s || d.s, [{{'n': length(a.r), 's': a.s}}, {{'n': length(b.r), 's': b.s}}, {{'n': length(d.r), 's': d.s}}] FROM t JOIN p a ON starts_with(reading, a.r) JOIN p b ON starts_with(reading, a.r || b.r) JOIN p d ON reading = a.r || b.r || d.r),
-f AS (SELECT text, candidate, min(path) AS path FROM c WHERE candidate <> text GROUP BY ALL) SELECT text, candidate, row_number() OVER (PARTITION BY text ORDER BY path) AS rank FROM f QUALIFY rank <= 10""",
+f AS (SELECT text, candidate, min(path) AS path FROM c WHERE candidate <> text GROUP BY ALL) SELECT text, candidate, row_number() OVER (PARTITION BY text ORDER BY path) AS rank FROM f QUALIFY rank <= 64""",
     "decide_homophone": f"""WITH {LEX}, c AS (SELECT t.surface AS text, c.surface AS cand, CASE WHEN c.n % 5 <> 0 THEN c.n / 64.0 END AS score, c.ord FROM lex t JOIN lex c ON t.reading = c.reading AND t.surface <> c.surface QUALIFY row_number() OVER (PARTITION BY t.surface ORDER BY c.ord) <= 64),
 b AS (SELECT text, cand, CAST(score AS DOUBLE) AS score FROM c QUALIFY row_number() OVER (PARTITION BY text ORDER BY coalesce(score, 0) DESC, ord) = 1),
 d AS (SELECT lex.surface AS text, b.cand, b.score, CASE WHEN b.cand IS NULL THEN 'no_same_reading_candidate' WHEN b.score IS NULL THEN 'missing_candidate_score' WHEN lex.n % 3 = 0 THEN 'missing_original_score' WHEN b.score <= lex.n / 64.0 THEN 'candidate_not_better_than_original' ELSE 'accepted_same_reading_context' END AS reason FROM lex LEFT JOIN b ON lex.surface = b.text)

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import text as tx
 from ..operators import boundary, cues, homophone, intervals, repair, sequence
+from ..sources import sinks
 
 SUFFIXES, MARKS, PREFIXES, MARKERS, EXCLUDED = ("ion", "en"), (".", "?", "!"), ("de", "the", "la", "un"), ("The", "De", "La"), ("The of", "De la")
+#: Milliseconds by which long documents are dealt in interval joins.
+BUCKET = 20_000
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -93,11 +97,20 @@ def q_srt(spark, d):
 
 
 def q_flagship(spark, d):
-    c = cues.normalise_cues(merged(spark, d), markers=MARKERS, exclusions=EXCLUDED)
-    bad = cues.cue_issues(c, order="index").groupBy("doc_id").count().withColumnRenamed("count", "n_issues")
-    srt = cues.srt_documents(c.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000}))
-    n = c.groupBy("doc_id").agg(F.count("*").alias("n_cues"))
-    return srt.join(n, "doc_id").join(bad, "doc_id", "left").select("doc_id", "n_cues", F.coalesce("n_issues", F.lit(0)).cast("long").alias("n_issues"), F.length("srt").alias("srt_chars"))
+    c = cues.normalise_cues(merged(spark, d), markers=MARKERS, exclusions=EXCLUDED).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
+    return cues.cue_report(c).select("doc_id", "n_cues", "n_issues", F.length("srt").alias("srt_chars"))
+
+
+def q_json(spark, d):
+    """Whole nested documents: each line of a turn is a sentence, and every turn a cue; times in seconds."""
+    t = segments(spark, d)
+    s = F.col("start") / 1000
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    sentences = F.transform(lines, lambda x: F.struct(x.alias("text"), s.alias("start"), (F.col("end") / 1000).alias("end"), F.lit(None).cast("string").alias("speaker_id"), F.array().cast(f"array<{schema.WORD}>").alias("words")))
+    t = t.withColumn("sentences", sentences.cast(f"array<{schema.SENTENCE}>")).withColumns({"start": s, "end": F.col("end") / 1000})
+    c = t.withColumn("index", F.col("position") + 1)
+    paths = t.select("doc_id").distinct().select("doc_id", F.concat(F.lit("in/"), "doc_id", F.lit(".mp3")).alias("source_path"), F.concat(F.lit("out/"), "doc_id", F.lit(".json")).alias("output_path"), F.concat(F.lit("transcribe-"), "doc_id").alias("run_id"))
+    return sinks.listening_documents(paths, t, c).select("doc_id", "json")
 
 
 def q_explode(spark, d):
@@ -111,18 +124,18 @@ def q_issues(spark, d):
 
 
 def q_speakers(spark, d):
-    a = intervals.assign_speakers(words(spark, d), turns(spark, d), "doc_id", ["position", "word_idx"])
+    a = intervals.assign_speakers(words(spark, d), turns(spark, d), "doc_id", ["position", "word_idx"], BUCKET)
     return a.groupBy("doc_id", "assigned").agg(F.count("*").alias("n_words"), F.min("start").alias("first_start"))
 
 
 def q_bucketed(spark, d):
     t = turns(spark, d).select("doc_id", "turn_idx", F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    met = intervals.interval_join(segments(spark, d), t, "doc_id", bucket=20000)
+    met = intervals.interval_join(segments(spark, d), t, "doc_id", bucket=BUCKET)
     return met.select("doc_id", "position", "turn_idx", intervals.overlap(F.col("start"), F.col("end"), F.col("t_start"), F.col("t_end")).cast("long").alias("overlap"))
 
 
 def q_speaker_runs(spark, d):
-    a = intervals.assign_speakers(words(spark, d), turns(spark, d), "doc_id", ["position", "word_idx"]).withColumn("sentence_text", F.lit("?"))
+    a = intervals.assign_speakers(words(spark, d), turns(spark, d), "doc_id", ["position", "word_idx"], BUCKET).withColumn("sentence_text", F.lit("?"))
     return intervals.speaker_runs(a, ["doc_id", "position"]).select("doc_id", "position", "run", "start", "end", "speaker_id")
 
 
@@ -194,8 +207,8 @@ def q_split_fold(spark, d):
 
 
 def q_latest(spark, d):
-    e = table(spark, d, "events")
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("event_id").alias("last_event"))
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("stage"), F.col("ts").alias("recorded_at"), F.lit(None).cast("double").alias("elapsed"), F.lit("").alias("message"))
+    return sinks.latest_events(e, ["user_id"]).select("user_id", "status", F.col("stage").alias("last_event"))
 
 
 def q_asr(spark, d):
@@ -227,7 +240,7 @@ def _long(query):
 
 
 _ALL = {
-    "flagship_srt": q_flagship, "seg_timeline": q_segments, "win_neighbors": q_neighbours, "win_runs": q_runs, "win_islands": q_continuations, "win_pair_merge": q_pairs,
+    "flagship_srt": q_flagship, "json_doc": q_json, "seg_timeline": q_segments, "win_neighbors": q_neighbours, "win_runs": q_runs, "win_islands": q_continuations, "win_pair_merge": q_pairs,
     "win_echo": q_echo, "win_commas": q_commas, "str_readability": q_readability, "str_safety": q_gate, "fmt_srt": q_srt, "explode_cues": q_explode, "union_issues": q_issues,
     "agg_argmax_overlap": q_speakers, "join_interval": q_bucketed, "win_speaker_runs": q_speaker_runs, "agg_concat": q_concat, "agg_contiguity": q_contiguity,
     "topk_prefilter": q_prefilter, "join_equi_antiself": q_lexical, "join_prefix": q_composed, "decide_homophone": q_decide, "fold_overlap": q_overlap_fold, "fold_split": q_split_fold,
