@@ -10,7 +10,7 @@ them has a similarity of 0.29 or more, and 32 bands of one row miss it with prob
 Two tests that lose nothing come first. A text can hold 0.8 of a template's shingles only if it has a word of any
 set of words whose shingles are more than 0.2 of the template's: for each template such a set is chosen, longest
 words first, and texts without any of these words are not cut into shingles. Windows that share no shingle with any
-template cannot agree in a band and get none.
+template of their class cannot agree in a band and get none.
 
 Defined results: null, empty and short texts report nothing; very long texts are read whole; repeated rows get
 equal results; a null doc_id is a key like any other; a template of fewer than five words is one shingle; templates
@@ -111,10 +111,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cont
     parts = scratch.write(cut.select("doc_id", "digest", F.when(F.arrays_overlap("h", every), F.col("h")).otherwise(none).alias("h")), "parts")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("k")
     sizes = sorted({class_of(len(r["h"])) for r in rows}) or [1]
-    classes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(window_of(s)[0]).alias("stride"), F.lit(window_of(s)[1]).alias("reach")) for s in sizes])
+    known = {s: sorted({x for r in rows if class_of(len(r["h"])) == s for x in r["h"]}) for s in sizes}
+    classes = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(window_of(s)[0]).alias("stride"), F.lit(window_of(s)[1]).alias("reach"), F.array(*[F.lit(x) for x in known[s]]).cast("array<bigint>").alias("known")) for s in sizes])
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - F.col("c.reach"), F.lit(0)) + F.col("c.stride") - 1, F.col("c.stride"))
-    windows = parts.where(F.size("h") > 0).select(key, "digest", "h", F.explode(classes).alias("c")).select("k", "digest", "h", "c.size", "c.reach", F.explode(starts).alias("i"))
-    windows = windows.select("k", "digest", "size", "i", F.slice("h", F.col("i") + 1, F.col("reach")).alias("w")).where(F.arrays_overlap("w", every))
+    windows = parts.where(F.size("h") > 0).select(key, "digest", "h", F.explode(classes).alias("c")).select("k", "digest", "h", "c.size", "c.reach", "c.known", F.explode(starts).alias("i"))
+    windows = windows.select("k", "digest", "size", "i", "known", F.slice("h", F.col("i") + 1, F.col("reach")).alias("w")).where(F.arrays_overlap("w", "known"))
     banded = windows.select("k", "digest", "size", "i", "w", F.posexplode(band_values(F.col("w"))).alias("band", "value"))
     index = spark.createDataFrame([(r["name"], class_of(len(r["h"])), b, v, r["h"]) for r in rows for b, v in enumerate(r["bands"])], "name string, size int, band int, value long, t array<long>")
     met = banded.join(F.broadcast(index), ["size", "band", "value"])  # of at most MAX_TEMPLATE_SHINGLES templates
