@@ -238,15 +238,122 @@ def test_urls(spark):
 def test_chat(spark):
     rows = [(1, 1, "assistant", "</s>[INST] ok \\1 [/INST]"), (1, 0, "user", None), (1, 2, "user", "bye"), (2, 0, None, "<s>[ROLE:x]"), (3, 0, "assistant", ""), (3, 1, "assistant", "é😀\n"), (None, 0, "system]", "t")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
-    got = {r.conv_id: r for r in chat_prefix.read_back(chat_prefix.streams(df)).collect()}
+    rows_ = chat_prefix.expand(df).collect()
+    got = {r.conv_id: r for r in chat_prefix.read_back(chat_prefix.expand(df)).collect()}
     for c in (1, 2, 3, None):
         turns = [(r or "", t or "") for _, _, r, t in sorted((x for x in rows if x[0] == c), key=lambda x: x[1])]
         loss = "".join(t for r, t in turns if r == "assistant")
         g = got[c]
-        assert (g.n_turns, g.loss_chars) == (len(turns), len(loss))
+        assert (g.n_turns, g.loss_chars, g.n_examples) == (len(turns), len(loss), sum(r == "assistant" for r, _ in turns))
         assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest() and g.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    ex = {(r.conv_id, r.example): r for r in chat_prefix.expand(chat_prefix.streams(df)).collect()}
-    assert set(ex) == {(1, 0), (3, 0), (3, 1)}
-    e = ex[3, 1]
-    assert chat_prefix.unescape(e.text[e.reply_start : e.reply_end]) == "é😀\n" and e.reply_end == len(e.text) and e.text.startswith(ex[3, 0].text)
-    assert chat_prefix.read_back(chat_prefix.streams(df.limit(0))).count() == 0
+        mine = [r for r in rows_ if r.conv_id == c]
+        assert g.formatted_chars == sum(len(r.text) for r in mine)
+        replies = [k for k, (r, _) in enumerate(turns) if r == "assistant"]
+        for r in mine:  # every example is all turns up to its reply, of which the reply's text alone is trainable
+            k = replies[r.example] if r.example is not None else len(turns) - 1
+            assert chat_prefix.turns_of(r.text) == turns[: k + 1]
+            assert r.example is None or chat_prefix.unescape(r.text[r.loss_start : r.loss_end]) == turns[k][1]
+        assert [r.example for r in mine] == [*range(len(replies)), *([None] if not replies or replies[-1] < len(turns) - 1 else [])]
+    assert chat_prefix.read_back(chat_prefix.expand(df.limit(0))).count() == 0
+
+
+def test_licenses_by_brute_force(spark):
+    """Windows of random texts with planted, edited notices; and what of whole plants is found."""
+    rnd = random.Random(6)
+    names = sorted(license_minhash.TEMPLATES)
+    cut = lambda t: [w for w in re.split("[^a-z0-9\x80-\U0010ffff]+", t.lower()) if w]
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))] if w else []
+    rows, planted = [], 0
+    for d in range(60):
+        body = [f"w{rnd.randint(0, 300)}" for _ in range(rnd.randint(0, 120))]
+        name = rnd.choice(names)
+        notice = [w if rnd.random() > 0.02 else "edited" for w in cut(license_minhash.TEMPLATES[name])]
+        at = rnd.randint(0, len(body))
+        rows.append((d, " ".join(body[:at] + (notice if d % 3 else []) + body[at:])))
+    found = {r.doc_id: r for r in license_minhash.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        h, want = shingles(cut(text)), set()
+        for name in names:
+            t = set(shingles(cut(license_minhash.TEMPLATES[name])))
+            stride, reach = license_minhash.window_of(license_minhash.class_of(len(t)))
+            for i in range(0, max(len(h) - reach, 0) + stride, stride):
+                if h and len(t & set(h[i : i + reach])) >= 0.8 * len(t):
+                    want.add((name, i))
+        got = {(x.name, x.start) for x in found[d].licenses}
+        assert got <= want and (d % 3 or not got or want)
+        planted += len(want)
+        assert {n for n, _ in got} == {n for n, _ in want}  # each template that a window holds
+    assert planted > 20
+
+
+def test_ftrl_by_loops():
+    rng = np.random.default_rng(3)
+    x = [(np.sort(rng.choice(6, 3, replace=False)).astype(np.int32), rng.random(3)) for _ in range(12)]
+    y = rng.integers(0, 3, 12)
+    got = langid_ftrl.fit(x, y, 3, 6, 2, alpha=0.5, beta=1.0, l1=1e-2, l2=1e-3)
+    z, n = [[0.0] * 3 for _ in range(7)], [[0.0] * 3 for _ in range(7)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= 1e-2:
+            return 0.0
+        return -(z[i][c] - np.sign(z[i][c]) * 1e-2) / ((1.0 + n[i][c] ** 0.5) / 0.5 + 1e-3)
+
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for k in order.permutation(12):
+            f = [*zip(x[k][0].tolist(), x[k][1].tolist(), strict=True), (6, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in f for c in range(3)}
+            e = np.exp([sum(v * w[i, c] for i, v in f) for c in range(3)])
+            for i, v in f:
+                for c in range(3):
+                    g = v * (e[c] / e.sum() - (c == y[k]))
+                    z[i][c] += g - ((n[i][c] + g * g) ** 0.5 - n[i][c] ** 0.5) / 0.5 * w[i, c]
+                    n[i][c] += g * g
+    assert np.allclose(got, [[weight(i, c) for c in range(3)] for i in range(7)])
+
+
+def test_blocks_of_a_benchmark(spark):
+    rnd = random.Random(9)
+    items = [(i, " ".join(rnd.choice("abc") * rnd.randint(1, 2) for _ in range(rnd.randint(1, 60)))) for i in range(12)]
+    made = [(i, " ".join(rnd.choice("abc") * rnd.randint(1, 2) for _ in range(rnd.randint(0, 80)))) for i in range(20)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(made, "doc_id long, text string")
+    got = decontam_sam.contamination(docs, bench, block_words=150).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == {d: contaminated(t, items, 13) for d, t in made}
+
+
+def test_samples_of_odd_texts(spark, monkeypatch):
+    v = sentencepiece_sampling.Vocabulary(sentencepiece_sampling.default_model(), 1.0)
+    texts = ["ab" * 3000, "a  b   c", " x", "  ", "日本" * 2500, "tail  "]
+    for long_ in (4096, 0):  # step by step, and node by node
+        monkeypatch.setattr(sentencepiece_sampling, "LONG", long_)
+        arrays = [a for _, _, a in sentencepiece_sampling.encode_batch(v, pa.array(texts), np.arange(len(texts)), 3, True)]
+        rows = [x for a in arrays for x in a[0].to_pylist()]
+        assert all(x for a in arrays for x in a[1].to_pylist()) and len(rows) == len(texts)
+        assert all(len({tuple(s["ids"]) for s in r}) == len(r) == 3 for r in rows[:2])
+        sums = [sum(np.exp(s["log_prob"]) for s in r) for r in rows]
+        assert all(x <= 1 + 1e-9 for x in sums) and abs(sums[3] - 1) < 1e-9  # the fourth, three single spaces, has next to no weight
+    df = spark.createDataFrame([(1, "a b", "k", "s")], "doc_id long, text string, _key string, samples string")
+    out = sentencepiece_sampling.encode_samples(df, F.col("doc_id"))
+    assert out.columns == ["doc_id", "text", "_key", "samples"] and out.first()._key == "k"
+    assert sentencepiece_sampling.encode_samples(df.limit(0), F.col("doc_id")).count() == 0
+
+
+def test_many_matches_and_clashes(spark):
+    text = "".join(f"x{i} token = {'a' * 12}{i} é " for i in range(700))
+    df = spark.createDataFrame([(1, text, "d", "h", "s", "t")], "doc_id long, text string, _d string, _h string, _s string, _t string")
+    got = secret_link.secret_report(df).first()
+    assert got.n_assign == 700 and got.base_sha256 == hashlib.sha256(",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer("token = a+[0-9]+", text)).encode()).hexdigest()
+    r = secret_link.redact(df).first()
+    assert (r._d, r._h, r._s, r._t) == ("d", "h", "s", "t") and r.text.count("[SECRET]") == 700
+    assert secret_link.secret_report(df.limit(0)).count() == 0 and license_minhash.scan_licenses(df.limit(0)).count() == 0
+    pages = spark.createDataFrame([("http://a.net/es/1", "f")], "url string, found string")
+    assert url_cascade.judge_urls(pages, queries.RULES, spark.createDataFrame([("x.org",)], "key string")).first().found == "f"
+
+
+def test_identifiers_of_the_second_hop(spark):
+    seeds = [(i, f"please write to user{i}@mail.example.com now") for i in range(6)]
+    shared = [(20 + i, f"reach person{i}00 via the desk: please write to person{i}00 now") for i in range(5)]
+    bridge = [(30 + i, f"contact old friend person{i}00 here") for i in range(5)]
+    far = [(40, "contact old friend hidden77 here"), (41, "a long-word-without-any-end" * 5 + " friend hidden78 here")]
+    got = {r.doc_id: r.spans for r in pii_bootstrap.personal_report(spark.createDataFrame(seeds + shared + bridge + far, "doc_id long, text string")).collect()}
+    assert got[40] == "ctx_email:19:27" and got[41] == ""
