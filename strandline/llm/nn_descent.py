@@ -3,7 +3,7 @@
 Vectors are compared within (label, dimension) only. The first lists come from random-hyperplane
 buckets, dealt into blocks of bounded size. Each round joins neighbours of neighbours: at every centre,
 the vectors of its forward and reverse neighbours are compared with each other and improve both lists.
-A vector whose list is full of links gets a list of twice the length, up to ``max_list``. Equal vectors are
+A vector whose list is full of links gets a longer one (``GROWTH`` times), up to ``max_list``. Equal vectors are
 one vector with a weight. Components that still hold a full list are compared exactly, block by block, with
 all vectors of their cell within the angle that links can span, which counts every link of theirs without
 emitting pairs; the others are then linked among themselves. A bounded sample of these is audited against
@@ -32,6 +32,10 @@ from .common import Scratch
 from .components import connected_components
 
 BLOCK = 256
+#: How many times longer a list gets when it is full of links.
+GROWTH = 8
+#: Into how many parts a bucket of more than two blocks is dealt before its size is known to its vectors.
+DEAL = 64
 LISTS = "v long, near array<struct<s:double,u:long>>"
 
 
@@ -81,7 +85,9 @@ def first_lists(vectors: DataFrame, tables: int, seed: int, k: int, floor: float
     dealt = coded.select("vec_id", "cell", "x", F.posexplode("codes").alias("t", "code"))
     full = coded.select("cell", F.posexplode("codes").alias("t", "code")).groupBy("cell", "t", "code").count()
     parts = F.ceil(F.col("count") / (2 * BLOCK)).cast("long")
-    salted = dealt.join(full, ["cell", "t", "code"]).withColumn("salt", F.pmod(F.xxhash64("vec_id", "t"), parts))
+    large = full.withColumn("parts", parts).where("parts > 1").select("cell", "t", "code", "parts", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("deal"))
+    dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(DEAL)).cast("int"))
+    salted = dealt.join(large, ["cell", "t", "code", "deal"], "left").withColumn("salt", F.pmod(F.xxhash64("vec_id", "t"), F.coalesce("parts", F.lit(1))))
     groups = salted.groupBy("cell", "t", "code", "salt").agg(F.collect_list(F.struct("vec_id", "x")).alias("g")).select(F.col("g.vec_id").alias("ids"), F.col("g.x").alias("xs"))
     return groups.where(F.size("ids") > 1).mapInArrow(all_pairs(k, floor), LISTS)
 
@@ -137,14 +143,14 @@ def all_pairs(k: int, floor: float):
     return run
 
 
-def merged(lists: DataFrame, caps: DataFrame, threshold: float, max_list: int, k: int) -> DataFrame:
-    """Each vector's best neighbours of all its lists, and the length of its list, doubled where it is full of links."""
-    one = lists.groupBy("v").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("near", lambda n: F.struct((-n["s"]).alias("s"), n["u"].alias("u"))))))).alias("all"))
+def merged(lists: DataFrame, threshold: float, max_list: int, k: int) -> DataFrame:
+    """Each vector's best neighbours of all its lists(v, near, cap), and the length of its list, longer where it is full of links."""
+    one = lists.groupBy("v").agg(F.coalesce(F.max("cap"), F.lit(k)).alias("cap"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("near", lambda n: F.struct((-n["s"]).alias("s"), n["u"].alias("u"))))))).alias("all"))
     # a pair's cosine may differ in its last bits between blocks: a neighbour counts once
     first = F.filter("all", lambda n, i: ~F.exists(F.slice("all", F.greatest(i - 3, F.lit(0)) + 1, F.least(i, F.lit(3))), lambda m: m["u"] == n["u"]))
-    one = one.withColumn("all", first).join(caps, "v", "left").withColumn("cap", F.coalesce("cap", F.lit(k)))
+    one = one.withColumn("all", first)
     full = F.size(F.filter(F.slice("all", 1, F.col("cap")), lambda n: -n["s"] >= threshold)) >= F.col("cap")
-    one = one.withColumn("full", full).withColumn("cap", F.when(F.col("full") & (F.col("cap") < max_list), F.col("cap") * 2).otherwise(F.col("cap")).cast("int"))
+    one = one.withColumn("full", full).withColumn("cap", F.when(F.col("full"), F.least(F.col("cap") * GROWTH, F.greatest("cap", F.lit(max_list)))).otherwise(F.col("cap")).cast("int"))
     return one.select("v", F.transform(F.slice("all", 1, F.col("cap")), lambda n: F.struct((-n["s"]).alias("s"), n["u"].alias("u"))).alias("near"), "cap", "full")
 
 
@@ -152,15 +158,16 @@ def link_edges(graph: DataFrame, threshold: float) -> DataFrame:
     return graph.select("v", F.explode("near").alias("n")).where(F.col("n.s") >= threshold).select(F.least("v", "n.u").alias("a"), F.greatest("v", "n.u").alias("b")).distinct()
 
 
-def descend(graph: DataFrame, vectors: DataFrame, k: int, max_list: int, floor: float) -> DataFrame:
+def descend(graph: DataFrame, vectors: DataFrame, max_list: int, floor: float) -> DataFrame:
     """Lists from one round of neighbours of neighbours."""
-    ahead = graph.select(F.col("v").alias("c"), F.explode("near").alias("n"), F.lit(max_list).alias("cap")).select("c", F.col("n.u").alias("u"), F.col("n.s").alias("s"))
+    ahead = graph.select(F.col("v").alias("c"), F.explode("near").alias("n")).select("c", F.col("n.u").alias("u"), F.col("n.s").alias("s"))
     back = ahead.select(F.col("u").alias("c"), F.col("c").alias("u"), "s")
     # reverse neighbours are sampled by rank of a hash beyond the length of the longest list, as they are for a hub
     limited = back.groupBy("c", F.pmod(F.xxhash64("u"), F.lit(max_list)).alias("slot")).agg(F.min(F.struct(-F.col("s"), "u")).alias("m")).select("c", F.col("m.u").alias("u"))
-    around = ahead.select("c", "u").unionAll(limited).unionAll(graph.select(F.col("v").alias("c"), F.col("v").alias("u"))).distinct()
-    many = around.groupBy("c").count().where("count > 2").select("c")
-    seen = around.join(many, "c", "left_semi").join(vectors.select(F.col("vec_id").alias("u"), "x"), "u")
+    around = ahead.select("c", "u").unionAll(limited).unionAll(graph.select(F.col("v").alias("c"), F.col("v").alias("u")))
+    # both lists are bounded, so a centre's set is; a centre with one neighbour has no pair to offer
+    around = around.groupBy("c").agg(F.collect_set("u").alias("us")).where(F.size("us") > 2).select("c", F.explode("us").alias("u"))
+    seen = around.join(vectors.select(F.col("vec_id").alias("u"), "x"), "u")
     groups = seen.groupBy("c").agg(F.collect_list(F.struct("u", "x")).alias("g")).select(F.col("g.u").alias("ids"), F.col("g.x").alias("xs"))
     return groups.mapInArrow(all_pairs(max_list, floor), LISTS)
 
@@ -288,10 +295,12 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: i
     rows = scratch.write(clean_vectors(df), "rows")
     vectors = scratch.write(rows.groupBy("cell", "x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("w")).select("vec_id", "cell", "x", "w"), "vectors")
     floor = 2 * threshold * threshold - 1  # cosine of twice the angle: what a common neighbour guarantees
-    caps = vectors.sparkSession.createDataFrame([], "v long, cap int")
     live, lists, recall, step = vectors, None, 1.0, 0
     counts, bonds = [], []  # of vectors that were compared with all others
 
+    def linked(graph: DataFrame) -> int:
+        return graph.agg(F.sum(F.size(F.filter("near", lambda x: x["s"] >= threshold)))).first()[0] or 0
+
     def settle(members: DataFrame, name: str) -> None:
         hits = scratch.write(exact_links(members, live, threshold), name)
         counts.append(hits.select("v", "n"))
@@ -300,32 +309,32 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, k: int = 8, max_list: i
     for again in range(retries + 1):
         largest = live.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
         new = first_lists(live, max(tables, tables_needed(largest, threshold, target)), again, k, floor)
-        graph = scratch.write(merged(new if lists is None else new.unionAll(lists), caps, threshold, max_list, k), f"graph-{step}")
-        links = -1
+        new = new.withColumn("cap", F.lit(None).cast("int"))
+        graph = scratch.write(merged(new if lists is None else new.unionAll(lists), threshold, max_list, k), f"graph-{step}")
+        links = linked(graph)
         for _ in range(rounds):
             step += 1
-            caps = graph.select("v", "cap")
-            better = descend(graph, live, k, max_list, floor)
-            graph = scratch.write(merged(graph.select("v", "near").unionAll(better), caps, threshold, max_list, k), f"graph-{step}")
-            n = graph.agg(F.sum(F.size(F.filter("near", lambda x: x["s"] >= threshold)))).first()[0] or 0
+            better = descend(graph, live, max_list, floor).withColumn("cap", F.lit(None).cast("int"))
+            graph = scratch.write(merged(graph.select("v", "near", "cap").unionAll(better), threshold, max_list, k), f"graph-{step}")
+            n = linked(graph)
             if n <= 1.001 * links:
                 break
             links = n
-        lists, caps, step = graph.select("v", "near"), graph.select("v", "cap"), step + 1
+        lists, step = graph.select("v", "near", "cap"), step + 1
         edges = scratch.write(link_edges(graph, threshold), f"edges-{again}")
-        comps = connected_components(edges, scratch, f"comps-{again}")
-        full = graph.where("full").select("v")  # at the length it had: rounds may have ended before it was tried at twice that
-        dense = comps.join(full, "v", "left_semi").select("comp").distinct()
-        members = scratch.write(comps.join(dense, "comp", "left_semi").withColumnRenamed("v", "vec_id").join(live, "vec_id").select("comp", "vec_id", "cell", "x", "w"), f"members-{again}")
-        settled = not members.isEmpty()
+        full = graph.where("full").select("v")  # at the length it had: rounds may have ended before it was tried with a longer one
+        settled = not full.isEmpty()
         if settled:  # their lists may leave links out: compared with all that is left, then set apart
+            comps = connected_components(edges, scratch, f"comps-{again}")
+            dense = comps.join(full, "v", "left_semi").select("comp").distinct()
+            members = scratch.write(comps.join(dense, "comp", "left_semi").withColumnRenamed("v", "vec_id").join(live, "vec_id").select("comp", "vec_id", "cell", "x", "w"), f"members-{again}")
             settle(members, f"exact-{again}")
             gone = members.select(F.col("vec_id").alias("a"))
             bonds.append(edges.join(gone, "a", "left_semi"))
             edges = edges.join(gone, "a", "left_anti")
             live = scratch.write(live.join(members, "vec_id", "left_anti"), f"live-{again}")
             ids = live.select(F.col("vec_id").alias("v"))
-            lists = lists.join(ids, "v", "left_semi").select("v", F.explode("near").alias("n")).withColumn("u", F.col("n.u")).join(ids.toDF("u"), "u", "left_semi").groupBy("v").agg(F.collect_list("n").alias("near"))
+            lists = lists.join(ids, "v", "left_semi").select("v", "cap", F.explode("near").alias("n")).withColumn("u", F.col("n.u")).join(ids.toDF("u"), "u", "left_semi").groupBy("v").agg(F.collect_list("n").alias("near"), F.max("cap").alias("cap"))
         ends = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(edges.select("b", "a"))
         listed = scratch.write(ends.join(live.select(F.col("vec_id").alias("u"), "w"), "u").groupBy("v").agg(F.count("*").alias("links"), F.sum("w").alias("n")), f"listed-{again}")
         recall = audit(live, listed.select("v", F.col("links").alias("n")), threshold, queries)
