@@ -57,6 +57,39 @@ LEX = """lex0 AS (SELECT surface, count(*) AS n, regexp_replace(surface, '[aeiou
 lex AS (SELECT *, row_number() OVER (PARTITION BY reading ORDER BY surface) AS ord FROM lex0 WHERE reading <> '')"""
 FLAG = MERGED + f", r1 AS (SELECT * REPLACE ({readable('text')} AS text) FROM merged), r2 AS (SELECT * REPLACE ({opened('text')} AS text) FROM r1), fin AS (SELECT * REPLACE ({squeezed('text')} AS text) FROM r2)"
 
+def compact(x: str) -> str:
+    return f"regexp_replace({x}, '{WSP}', '', 'g')"
+
+
+QUOTES = "[」』）)】］\\]〉》]*$"
+
+
+def ending(x: str, words: str) -> str:
+    return f"regexp_matches(regexp_replace({x}, '{QUOTES}', ''), '({words})$')"
+
+
+def folded(words: str) -> str:
+    """Boundaries of sentences: words(k, i, word_idx, text, s, e) of a sentence k, i from 1, walked one word at a time."""
+    first = "(qu|de|the|la|un)"
+    return f"""x0 AS (SELECT *, {compact('text')} AS c FROM {words}),
+x1 AS (SELECT k, i, word_idx, length(c) AS nc, sum(length(c)) OVER w AS at_c, sum(length(text)) OVER w AS upto, lead(s) OVER w - e AS gap, {ending('c', '[.]')} AS mark FROM x0 WINDOW w AS (PARTITION BY k ORDER BY i)),
+x2 AS (SELECT k, string_agg(c, '' ORDER BY i) AS u, sum(length(text)) AS nt FROM x0 GROUP BY k HAVING count(*) > 1),
+walk AS (SELECT k, u, nt, CAST(0 AS BIGINT) AS i, CAST(0 AS HUGEINT) AS first, CAST(0 AS HUGEINT) AS first_c, CAST(NULL AS BIGINT) AS word_idx, CAST(NULL AS VARCHAR) AS reason FROM x2
+UNION ALL SELECT k, u, nt, i, CASE WHEN reason IS NULL THEN first ELSE upto END, CASE WHEN reason IS NULL THEN first_c ELSE at_c END, word_idx, reason FROM (
+SELECT *, CASE WHEN upto <= first OR upto >= nt THEN NULL WHEN mark OR {ending('bare', '[.]')} THEN 'terminal_mark' WHEN regexp_matches(ahead, '^{first}') THEN NULL WHEN regexp_matches(ahead, '^\\p{{Nd}}') AND NOT final THEN NULL
+WHEN gap >= 1.5 THEN 'strong_pause' WHEN at_c - first_c >= 2 AND bare = again THEN 'repeated_heading' WHEN final AND gap >= 0.5 THEN 'pause_after_sentence_final' WHEN final THEN 'sentence_final_expression' END AS reason FROM (
+SELECT *, {ending('bare', 'ion|en')} AS final FROM (SELECT r.k, r.u, r.nt, x.i, r.first, r.first_c, x.word_idx, x.upto, x.at_c, x.gap, x.mark, substr(r.u, CAST(r.first_c + 1 AS BIGINT), CAST(x.at_c - r.first_c AS BIGINT)) AS bare, substr(r.u, CAST(x.at_c + 1 AS BIGINT), 3) AS ahead, substr(r.u, CAST(x.at_c + 1 AS BIGINT), CAST(x.at_c - r.first_c AS BIGINT)) AS again FROM walk r JOIN x1 x ON r.k = x.k AND x.i = r.i + 1 WHERE x.gap IS NOT NULL))))"""
+
+
+NESTED = SEG + """,
+n0 AS (SELECT doc_id, position, speaker_id, "start" AS s0, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS l FROM segments),
+n1 AS (SELECT doc_id, position, speaker_id, s0, l, unnest(regexp_split_to_array(line, ' +')) AS text, generate_subscripts(regexp_split_to_array(line, ' +'), 1) AS n FROM n0),
+n2 AS (SELECT *, s0 + 50 * coalesce(sum(length(text)) OVER (PARTITION BY doc_id, position ORDER BY l, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM n1 WHERE text <> ''),
+nw AS (SELECT doc_id, position, speaker_id, l, n, text, CAST(upto AS BIGINT) / 1000 AS s, CAST(upto + 50 * length(text) AS BIGINT) / 1000 AS e FROM n2),
+ns AS (SELECT doc_id, position, speaker_id, l, string_agg(text, '' ORDER BY n) AS text, min_by(s, n) AS s, max_by(e, n) AS e, count(*) AS words, min_by(text, n) AS word FROM nw GROUP BY ALL),
+nseg AS (SELECT doc_id, position, string_agg(text, '' ORDER BY l) AS text, min_by(s, l) AS "start", max_by(e, l) AS "end", list(text ORDER BY l) AS t, list(words ORDER BY l) AS c, min_by(word, l) AS word, min_by(s, l) AS s1, max_by(e, l) AS e1 FROM ns GROUP BY ALL)"""
+TOLD = """doc_id, position, text, "start", "end", array_to_string(t, chr(10)) AS sentence_texts, array_to_string(c, ',') AS word_counts"""
+
 ORACLE = {
     "seg_timeline": f'WITH {SEG} SELECT doc_id, position, "start", "end", "end" - "start" AS duration FROM segments',
     "win_neighbors": f"WITH {SEG} SELECT doc_id, position, length(lag(text, 1, '') OVER w) AS prev_len, length(lead(text, 1, '') OVER w) AS next_len FROM segments WINDOW w AS (PARTITION BY doc_id ORDER BY position)",
@@ -101,4 +134,30 @@ SELECT text, reason, reason = 'accepted_same_reading_context' AS accepted, CASE
     "scan_asr": f"""WITH {WORDS}, b AS (SELECT doc_id, position, min_by("start", word_idx) AS w0, max_by("end", word_idx) AS w1 FROM words GROUP BY ALL) SELECT s.doc_id, s.position, least(s."start" + 30, w0) AS "start", greatest(s."end" - 30, w1) AS "end", row_number() OVER (PARTITION BY s.doc_id ORDER BY s.position) - 1 AS new_position FROM segments s LEFT JOIN b USING (doc_id, position) WHERE trim(replace(s.text, chr(10), '')) <> ''""",
     "filter_predicates": f"""WITH {SEG} SELECT doc_id, position, (lead("start") OVER w) - "end" AS gap, speaker_id IS DISTINCT FROM (lead(speaker_id) OVER w) AS speaker_boundary, regexp_matches(text, '[.?!][」』）)】］\\]〉》\\s]*$') AS terminal, regexp_matches(text, '^\\s*(de|the|la|un)') AS dependent, regexp_matches(text, '[\\x{{3400}}-\\x{{9fff}}]') AS kanji FROM segments WINDOW w AS (PARTITION BY doc_id ORDER BY position)""",
     "preflight_duplicates": "SELECT regexp_replace(regexp_replace(trim(p_brand), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS stem, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1",
+    "fold_overlap": f"""WITH RECURSIVE {SEG}, a AS (SELECT doc_id, position, row_number() OVER w AS k, text || substr(lead(text, 1, '') OVER w, 1, 1 + doc_id % 4) AS text, regexp_extract(text, '^[^ \n]+') AS word FROM segments WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
+f AS (SELECT doc_id, k, CAST(0 AS BIGINT) AS position, text FROM a WHERE k = 1
+UNION ALL SELECT doc_id, k, CASE WHEN apart THEN position + 1 ELSE position END, CASE WHEN apart THEN text ELSE tail || substr(text, n + 1) END FROM (
+SELECT *, n < 2 OR n = length({compact('word')}) OR {ending('ct', '[?]')} AS apart FROM (
+SELECT *, coalesce(list_max(list_filter(range(2, least(length(ct), length(cx)) + 1), lambda z: right(ct, z) = left(cx, z))), 0) AS n FROM (
+SELECT f.doc_id, a.k, f.position, f.text AS tail, a.text, a.word, {compact('f.text')} AS ct, {compact('a.text')} AS cx FROM f JOIN a ON a.doc_id = f.doc_id AND a.k = f.k + 1))))
+SELECT doc_id, position, max_by(text, k) AS text FROM f GROUP BY doc_id, position""",
+    "fold_split": f"""WITH RECURSIVE {WORDS}, sw AS (SELECT {{'d': doc_id, 'p': position}} AS k, row_number() OVER (PARTITION BY doc_id, position ORDER BY word_idx) AS i, CAST(word_idx AS BIGINT) AS word_idx, text,
+"start" / 1000 + word_idx % 4 * 0.6::DOUBLE * (word_idx // 9) AS s, "end" / 1000 + word_idx % 4 * 0.6::DOUBLE * (word_idx // 9) AS e FROM words), {folded('sw')}
+SELECT k.d AS doc_id, k.p AS position, word_idx, reason FROM walk WHERE reason IS NOT NULL""",
+    "nested_echo": f"""WITH {NESTED}, a AS (SELECT * REPLACE (CASE WHEN position % 2 = 0 THEN text || lead(word, 1, '') OVER (PARTITION BY doc_id ORDER BY position) ELSE text END AS text) FROM nseg),
+h AS (SELECT *, coalesce(ends_with({compact('lag(text) OVER (PARTITION BY doc_id ORDER BY position)')}, word) AND c[1] > 1, false) AS h FROM a), z AS (SELECT doc_id, position, s AS s2 FROM nw QUALIFY row_number() OVER (PARTITION BY doc_id, position ORDER BY l, n) = 2),
+o AS (SELECT doc_id, position, CASE WHEN h THEN array_to_string(list_prepend(substr(t[1], length(word) + 1), t[2:]), '') ELSE text END AS text, CASE WHEN h THEN s2 ELSE "start" END AS "start", "end", CASE WHEN h THEN list_prepend(substr(t[1], length(word) + 1), t[2:]) ELSE t END AS t, CASE WHEN h THEN list_prepend(c[1] - 1, c[2:]) ELSE c END AS c FROM h LEFT JOIN z USING (doc_id, position)) SELECT {TOLD} FROM o""",
+    "nested_continuations": f"""WITH {NESTED}, b AS (SELECT *, s1 - lag(e1) OVER w AS gap, lag(t[-1]) OVER w AS before, position = min(position) OVER (PARTITION BY doc_id) AS head FROM nseg WINDOW w AS (PARTITION BY doc_id ORDER BY position)),
+g AS (SELECT *, coalesce(gap >= 0 AND gap <= 0.9 AND NOT {ending(compact('before'), '[?]')} AND regexp_matches({compact('t[1]')}, '^(the|de|la|De|The|La|A|Er|An|In|Th)'), false) AS tie FROM b),
+i AS (SELECT *, sum(CASE WHEN tie THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY position) - 1 AS island FROM g),
+q AS (SELECT i.doc_id, island, i.position, ns.text, ns.words, l, CASE WHEN tie AND l = min(l) OVER (PARTITION BY i.doc_id, i.position) THEN 0 ELSE 1 END AS new FROM i JOIN ns ON i.doc_id = ns.doc_id AND i.position = ns.position),
+u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, island ORDER BY position, l) AS n FROM q), v AS (SELECT doc_id, island, n, string_agg(text, '' ORDER BY position, l) AS text, CAST(sum(words) AS BIGINT) AS words FROM u GROUP BY ALL),
+m AS (SELECT doc_id, island, string_agg(text, '' ORDER BY n) AS text, list(text ORDER BY n) AS t, list(words ORDER BY n) AS c FROM v GROUP BY ALL), r AS (SELECT doc_id, island, min("start") AS "start", max_by("end", position) AS "end", min_by("start", position) AS s0 FROM i GROUP BY ALL),
+o AS (SELECT doc_id, CAST(island AS BIGINT) AS position, text, s0 AS "start", "end", t, c FROM m JOIN r USING (doc_id, island)) SELECT {TOLD} FROM o""",
+    "nested_commas": f"""WITH {NESTED}, h AS (SELECT *, lead(1) OVER (PARTITION BY doc_id ORDER BY position) IS NOT NULL AND regexp_matches({compact('t[-1]')}, '(n[.]|e[.]|s[.])$') AS h FROM nseg),
+o AS (SELECT doc_id, position, CASE WHEN h THEN text || ',' ELSE text END AS text, "start", "end", CASE WHEN h THEN list_append(t[:-2], t[-1] || ',') ELSE t END AS t, c FROM h) SELECT {TOLD} FROM o""",
+    "nested_split": f"""WITH RECURSIVE {NESTED}, sw AS (SELECT {{'d': doc_id, 'p': position, 'l': l}} AS k, row_number() OVER (PARTITION BY doc_id, position, l ORDER BY n) AS i, CAST(n AS BIGINT) AS word_idx, text, s, e FROM nw), {folded('sw')},
+y AS (SELECT k, i, text, coalesce(sum(b) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM (SELECT sw.k, sw.i, sw.text, CASE WHEN w.reason IS NULL THEN 0 ELSE 1 END AS b FROM sw LEFT JOIN walk w ON w.k = sw.k AND w.i = sw.i)),
+z AS (SELECT k, part, string_agg(text, '' ORDER BY i) AS text, count(*) AS words FROM y GROUP BY ALL), m AS (SELECT k.d AS doc_id, k.p AS position, list(text ORDER BY k.l, part) AS t, list(words ORDER BY k.l, part) AS c FROM z GROUP BY ALL),
+o AS (SELECT doc_id, position, text, "start", "end", m.t, m.c FROM nseg JOIN m USING (doc_id, position)) SELECT {TOLD} FROM o""",
 }

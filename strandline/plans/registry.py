@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as tx
-from ..operators import boundary, cues, homophone, intervals, repair, sequence
+from ..operators import boundary, cues, homophone, intervals, nested, repair, sequence
 from ..sources import sinks
 
 SUFFIXES, MARKS, PREFIXES, MARKERS, EXCLUDED = ("ion", "en"), (".", "?", "!"), ("de", "the", "la", "un"), ("The", "De", "La"), ("The of", "De la")
@@ -197,7 +197,7 @@ def q_commas(spark, d):
 def q_overlap_fold(spark, d):
     """Each whole turn also says the first characters of the next, which are then an echo."""
     ahead = F.lead("text", 1, "").over(Window.partitionBy("doc_id").orderBy("position"))
-    s = segments(spark, d).withColumn("text", F.concat("text", F.substring(ahead, F.lit(1), 1 + F.pmod("doc_id", F.lit(4)).cast("int")))).withColumn("first_word", F.lit(None).cast("string"))
+    s = segments(spark, d).withColumn("first_word", F.regexp_extract("text", r"^[^ \n]+", 0)).withColumn("text", F.concat("text", F.substring(ahead, F.lit(1), 1 + F.pmod("doc_id", F.lit(4)).cast("int"))))
     return boundary.merge_overlaps(s.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000}), marks=("?",)).select("doc_id", "position", "text")
 
 
@@ -206,6 +206,56 @@ def q_split_fold(spark, d):
     return boundary.split_sentences(w, ["doc_id", "position"], marks=(".",), suffixes=SUFFIXES, particles=("qu",), prefixes=PREFIXES).select("doc_id", "position", "word_idx", "reason")
 
 
+def nested_segments(spark, d):
+    """Each line of a turn is a sentence of its words, without the spaces; turns without words are left out."""
+    s = segments(spark, d)
+    lines = s.select("doc_id", "position", "speaker_id", "start", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    w = lines.select("doc_id", "position", "speaker_id", "start", "line", F.posexplode(F.split("text", " +")).alias("n", "text")).where("text <> ''")
+    before = Window.partitionBy("doc_id", "position").orderBy("line", "n").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("start") + F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)) * 50
+    w = w.withColumns({"start": at / 1000, "end": (at + F.length("text") * 50) / 1000})
+    word = F.struct("text", "start", "end", F.lit(None).cast("double").alias("confidence"), "speaker_id")
+    g = w.groupBy("doc_id", "position", "speaker_id", "line").agg(F.array_sort(F.collect_list(F.struct("n", word.alias("w")))).alias("w")).withColumn("w", F.transform("w", lambda x: x["w"]))
+    text = F.array_join(F.transform("w", lambda x: x["text"]), "")
+    sentence = F.struct(text.alias("text"), F.get("w", F.lit(0))["start"].alias("start"), F.element_at("w", -1)["end"].alias("end"), "speaker_id", F.col("w").alias("words"))
+    out = g.select("doc_id", "position", "speaker_id", F.struct("line", sentence.alias("s")).alias("s")).groupBy("doc_id", "position", "speaker_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["s"]).alias("sentences"))
+    whole = F.array_join(F.transform("sentences", lambda s: s["text"]), "")
+    out = out.withColumns({"sentences": F.col("sentences").cast(f"array<{schema.SENTENCE}>"), "text": whole, "start": F.get("sentences", F.lit(0))["start"], "end": F.element_at("sentences", -1)["end"]})
+    return nested.normalised(out.select("doc_id", *nested.COLUMNS))
+
+
+def told(df):
+    """What nested segments hold: texts, ranges, and how many words each sentence has."""
+    sizes = F.array_join(F.transform("sentences", lambda s: F.size(s["words"]).cast("string")), ",")
+    lines = F.array_join(F.transform("sentences", lambda s: s["text"]), "\n")
+    return df.select("doc_id", "position", "text", "start", "end", lines.alias("sentence_texts"), sizes.alias("word_counts"))
+
+
+def q_nested_echo(spark, d):
+    return told(nested.remove_echoes(echoing(spark, d)))
+
+
+def echoing(spark, d):
+    """Nested segments of which every other one ends with the first word of the next."""
+    s = nested_segments(spark, d)
+    ahead = F.lead(F.get(F.get("sentences", F.lit(0))["words"], F.lit(0))["norm"], 1, "").over(Window.partitionBy("doc_id").orderBy("position"))
+    return s.withColumn("text", F.when(F.col("position") % 2 == 0, F.concat("text", ahead)).otherwise(F.col("text")))
+
+
+def q_nested_continuations(spark, d):
+    s = nested_segments(spark, d)
+    none = F.transform("sentences", lambda x: x.withField("speaker_id", F.lit(None).cast("string")))
+    return told(nested.join_continuations(s.withColumn("sentences", none), max_gap=0.9, marks=("?",), prefixes=("the", "de", "la", "De", "The", "La", "A", "Er", "An", "In", "Th")))
+
+
+def q_nested_commas(spark, d):
+    return told(nested.restore_commas(nested_segments(spark, d), endings=("n.", "e.", "s."), comma=","))
+
+
+def q_nested_split(spark, d):
+    return told(nested.split(nested_segments(spark, d), marks=(".",), suffixes=SUFFIXES, particles=("qu",), prefixes=PREFIXES)[0])
+
+
 def q_latest(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("event_type").alias("status"), F.col("event_id").alias("stage"), F.col("ts").alias("recorded_at"), F.lit(None).cast("double").alias("elapsed"), F.lit("").alias("message"))
     return sinks.latest_events(e, ["user_id"]).select("user_id", "status", F.col("stage").alias("last_event"))
@@ -244,6 +294,7 @@ _ALL = {
     "win_echo": q_echo, "win_commas": q_commas, "str_readability": q_readability, "str_safety": q_gate, "fmt_srt": q_srt, "explode_cues": q_explode, "union_issues": q_issues,
     "agg_argmax_overlap": q_speakers, "join_interval": q_bucketed, "win_speaker_runs": q_speaker_runs, "agg_concat": q_concat, "agg_contiguity": q_contiguity,
     "topk_prefilter": q_prefilter, "join_equi_antiself": q_lexical, "join_prefix": q_composed, "decide_homophone": q_decide, "fold_overlap": q_overlap_fold, "fold_split": q_split_fold,
+    "nested_echo": q_nested_echo, "nested_continuations": q_nested_continuations, "nested_commas": q_nested_commas, "nested_split": q_nested_split,
     "stage_latest": q_latest, "scan_asr": q_asr, "filter_predicates": q_predicates, "preflight_duplicates": q_preflight,
 }
 
