@@ -71,47 +71,62 @@ def restore_commas(segments: DataFrame, key: str = "doc_id", order: str = "posit
 def split_sentences(words: DataFrame, keys: list[str], marks=lx.TERMINAL_MARKS, suffixes=lx.FINAL_SUFFIXES, particles=lx.FINAL_PARTICLES, prefixes=lx.CONTINUATION_PREFIXES, strong=lx.STRONG_PAUSE, pause=lx.MIN_PAUSE) -> DataFrame:
     """Boundary decisions of sentences: (keys, word_idx, gap, reason, left_text, right_text).
 
-    words(word_idx, text (normalised), start, end). What is left of a word counts from the last boundary,
-    so a sentence's words are folded; what is right of it is cut from the sentence's text, joined once. Rules are tried in order: a terminal mark splits; a final particle, a
-    dependent prefix, or a digit after an unfinished text never does; a strong pause, a repeated heading
-    and a sentence-final text do.
+    words(word_idx, text (normalised), start, end). What is left of a word counts from the last boundary, so a
+    sentence's words are folded. All that does not depend on that boundary is told before: what lies ahead of a word,
+    and how many characters to its left a mark or a suffix needs. The fold's state is numbers; texts are cut after it.
+    Rules are tried in order: a terminal mark splits; a final particle, a dependent prefix, or a digit after an
+    unfinished text never does; a strong pause, a repeated heading and a sentence-final text do.
     """
-    words = words.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_c", compact(F.col("text")))
-    a = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "start", "end", F.col("_c").alias("c")))).alias("a")).where(F.size("a") > 1)
-    # the sentence as given and without white space; the state is where the open part begins and ends in both
+    w = ordered(keys, ["word_idx"])
+    text = F.coalesce("text", F.lit(""))
+    words = words.select(*keys, "word_idx", text.alias("text"), compact(text).alias("c"), (F.lead("start").over(w) - F.col("end")).cast("double").alias("gap"), ends_with_any(text, marks).alias("mark"))
+    words = words.withColumns({"at": F.sum(F.length("text")).over(w).cast("int"), "at_c": F.sum(F.length("c")).over(w).cast("int")})
+    a = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("word_idx").cast("int").alias("word_idx"), "at", "at_c", "gap", "mark", "text", "c"))).alias("a")).where(F.size("a") > 1)
+    # the sentence as given and without white space
     a = a.withColumns({"t": F.array_join(F.transform("a", lambda x: x["text"]), ""), "u": F.array_join(F.transform("a", lambda x: x["c"]), "")})
-    state = "struct<first:int,at:int,first_c:int,at_c:int,out:array<struct<word_idx:int,gap:double,reason:string,left_text:string,right_text:string>>>"
-    arr, t, u = F.col("a"), F.col("t"), F.col("u")
-    head = max(map(len, (*particles, *prefixes, "0")))
-
-    def ends(left, words):
-        """ends_with_any of a long text: its last characters decide, but after a long run of quotes."""
-        near = F.right(left, F.lit(max(map(len, words)) + 32))
-        return F.when(near.rlike("[" + "".join(map(re.escape, lx.CLOSING_QUOTES)) + "]{33}$"), ends_with_any(left, words)).otherwise(ends_with_any(near, words))
-
-    def step(acc, i):
-        cur, nxt = F.get(arr, i), F.get(arr, i + 1)
-        at, at_c = acc["at"] + F.length(cur["text"]), acc["at_c"] + F.length(cur["c"])
-        left, right = F.substring(t, acc["first"] + 1, at - acc["first"]), F.substring(t, at + 1, F.length(t))
-        bare, ahead = F.substring(u, acc["first_c"] + 1, at_c - acc["first_c"]), F.substring(u, at_c + 1, F.lit(head))
-        gap = nxt["start"] - cur["end"]
-        final = ends(bare, suffixes)
-        repeated = bare == F.substring(u, at_c + 1, at_c - acc["first_c"])
+    t, u = F.col("t"), F.col("u")
+    quotes = "[" + "".join(map(re.escape, lx.CLOSING_QUOTES)) + "]"
+    head, tail = max(map(len, (*particles, *prefixes, "0"))), max(map(len, (*marks, *suffixes))) + 32
+
+    def more(x, **columns):
+        return F.struct(*[x[n].alias(n) for n in ("word_idx", "at", "at_c", "gap", "mark")], *[c.alias(n) for n, c in columns.items()])
+
+    def around(x):
+        near = F.substring(u, F.greatest(x["at_c"] - tail, F.lit(0)) + 1, F.least(x["at_c"], F.lit(tail)))
+        near = F.when(near.rlike(quotes + "{32}$"), F.substring(u, F.lit(1), x["at_c"])).otherwise(near)
+        return more(x, near=near, bare=F.regexp_replace(near, quotes + "*$", ""), ahead=F.substring(u, x["at_c"] + 1, F.lit(head)))
+
+    def needed(x, endings):
+        """The least number of characters before a place that show one of the endings, closing quotes included; null: none does."""
+        fits = [F.when(x["bare"].endswith(e), F.lit(len(e))) for e in endings]
+        return F.least(*fits, F.lit(None).cast("int")) + F.length(x["near"]) - F.length(x["bare"])
+
+    def facts(x):
+        blocked = starts_with_any(x["ahead"], particles) | starts_with_any(x["ahead"], prefixes)
+        return more(x, marked=needed(x, marks), final=needed(x, suffixes), blocked=blocked, digit=x["ahead"].rlike(r"^\p{Nd}"))
+
+    a = a.withColumn("p", F.transform(F.transform("a", around), facts))
+    state = "struct<first:int,first_c:int,out:array<struct<word_idx:int,gap:double,reason:string,first:int,at:int>>>"
+
+    def step(acc, x):
+        at, at_c = x["at"], x["at_c"]
+        width = at_c - acc["first_c"]
+        final = F.coalesce(x["final"] <= width, F.lit(False))
+        repeated = F.substring(u, acc["first_c"] + 1, width) == F.substring(u, at_c + 1, width)
         reason = (
-            F.when(ends_with_any(cur["text"], marks) | ends(bare, marks), "terminal_mark")
-            .when(starts_with_any(ahead, particles) | starts_with_any(ahead, prefixes), F.lit(None))
-            .when(ahead.rlike(r"^\p{Nd}") & ~final, F.lit(None))
-            .when(gap >= strong, "strong_pause")
-            .when((at_c - acc["first_c"] >= 2) & repeated, "repeated_heading")
-            .when(final & (gap >= pause), "pause_after_sentence_final")
+            F.when(x["mark"] | F.coalesce(x["marked"] <= width, F.lit(False)), "terminal_mark")
+            .when(x["blocked"] | (x["digit"] & ~final), F.lit(None))
+            .when(x["gap"] >= strong, "strong_pause")
+            .when((width >= 2) & repeated, "repeated_heading")
+            .when(final & (x["gap"] >= pause), "pause_after_sentence_final")
             .when(final, "sentence_final_expression")
         )
         reason = F.when((at > acc["first"]) & (at < F.length(t)), reason)
-        one = F.struct(cur["word_idx"].cast("int").alias("word_idx"), F.greatest(gap, F.lit(0.0)).cast("double").alias("gap"), reason.alias("reason"), left.alias("left_text"), right.alias("right_text"))
-        kept = F.struct(acc["first"].alias("first"), at.alias("at"), acc["first_c"].alias("first_c"), at_c.alias("at_c"), acc["out"].alias("out"))
-        cut = F.struct(at.alias("first"), at.alias("at"), at_c.alias("first_c"), at_c.alias("at_c"), F.concat(acc["out"], F.array(one)).alias("out"))
-        return F.when(reason.isNotNull(), cut).otherwise(kept).cast(state)
-
-    zero = F.struct(*[F.lit(0).alias(n) for n in ("first", "at", "first_c", "at_c")], F.array().alias("out")).cast(state)
-    folded = a.select(*keys, F.aggregate(F.sequence(F.lit(0), F.size("a") - 2), zero, step)["out"].alias("o"))
-    return folded.select(*keys, F.explode("o").alias("d")).select(*keys, "d.*")
+        one = F.struct(x["word_idx"].alias("word_idx"), F.greatest(x["gap"], F.lit(0.0)).alias("gap"), reason.alias("reason"), acc["first"].alias("first"), at.alias("at"))
+        return F.when(reason.isNotNull(), F.struct(at.alias("first"), at_c.alias("first_c"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
+
+    zero = F.struct(F.lit(0).alias("first"), F.lit(0).alias("first_c"), F.array().alias("out")).cast(state)
+    folded = F.aggregate(F.slice("p", 1, F.size("p") - 1), zero, step)["out"]
+    d = a.select(*keys, "t", F.explode(folded).alias("d"))
+    cut = F.substring(t, F.col("d.first") + 1, F.col("d.at") - F.col("d.first"))
+    return d.select(*keys, "d.word_idx", "d.gap", "d.reason", cut.alias("left_text"), F.substring(t, F.col("d.at") + 1, F.length(t)).alias("right_text"))
