@@ -129,7 +129,42 @@ y AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTI
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256,
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
 
+
+def _either(words: str) -> str:
+    """A pattern of words whose ASCII letters stand in either case (a flag would also fold other letters)."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _found(kind: str, rank: int, pattern: str, fine: str = "true", end: str = "length(m)") -> str:
+    """Leftmost matches m of a pattern in texts d(doc_id, t): matches and the gaps between them add up to the text."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(s + {end.replace('PATTERN', p)} AS BIGINT) AS e, '{kind}' AS kind, {rank} AS rank FROM (
+SELECT doc_id, m, sum(length(g) + coalesce(length(b), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (SELECT doc_id, i, a[i] AS m, a[i - 1] AS b, c[i] AS g FROM (
+SELECT doc_id, a, c, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS a, string_split_regex(t, '{p}') AS c FROM d)))) WHERE {fine.replace('PATTERN', p)}"""
+
+
+_NAMED = r"""["']?\x20*[:=]\x20*["']?"""
+_PARTS = [
+    _found("assign", 0, f"({_either('password|passwd|secret|token|api_?key')}){_NAMED}([A-Za-z0-9+/_.=-]+)", "length(regexp_extract(m, 'PATTERN', 2)) >= 12"),
+    _found("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 18"),
+    _found("hex", 2, "[0-9a-f]+", "length(m) >= 16"),
+    _found("secret", 3, f"({_either('pwd|pass|passphrase|credential|private_?key|secret_?key|auth')}){_NAMED}([A-Za-z0-9+/_.=!@#$%^&*-]{{6,}})"),
+    # a bare token opens a run of its letters and equals signs
+    _found("secret", 3, "[A-Za-z0-9+/_=-]+", "x <> '' AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]')", "length(x)").replace("SELECT doc_id, m, sum", "SELECT doc_id, regexp_extract(m, '^[A-Za-z0-9+/_-]{20,}={0,2}') AS x, m, sum"),
+    _found("access", 4, f"({_either('user_?name|user_?id|user|login|account|client_?id|access_?key_?id|access_?key')}){_NAMED}([A-Za-z0-9._@+-]{{3,}})"),
+    _found("endpoint", 5, rf"""(?:[A-Za-z][A-Za-z0-9+.]{{1,11}}://[^\x20\x09-\x0D"'<>]+|(?:{_either('host|hostname|endpoint|server|database|bucket')}){_NAMED}[A-Za-z0-9./:_-]{{3,}})"""),
+]
+_SCOPE = secret_link.SCOPE
+_SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS ({' UNION ALL '.join(_PARTS)}),
+base AS (SELECT * FROM p WHERE rank < 3), weak AS (SELECT DISTINCT * FROM p WHERE rank > 2 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.s < p.e AND p.s < b.e)),
+every AS (SELECT doc_id, s, e, kind AS role FROM weak UNION SELECT doc_id, s, e, CASE kind WHEN 'access' THEN 'access' ELSE 'secret' END FROM base),
+seen AS (SELECT w.doc_id, w.s, w.e, w.kind, w.rank, bool_or(o.role = 'secret') AS secret, bool_or(o.role = 'access') AS access, bool_or(o.role = 'endpoint') AS endpoint FROM weak w JOIN every o ON o.doc_id = w.doc_id AND o.role <> w.kind AND o.s - w.e <= {_SCOPE} AND w.s - o.e <= {_SCOPE} AND NOT (o.s < w.e AND w.s < o.e) GROUP BY ALL),
+spans AS (SELECT doc_id, s, e, kind, rank FROM base UNION ALL SELECT doc_id, s, e, 'link_' || kind, rank FROM seen WHERE CASE kind WHEN 'secret' THEN access OR endpoint WHEN 'access' THEN secret ELSE secret AND access END),
+o AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 3) AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS x FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(x, '') AS spans FROM d LEFT JOIN o USING (doc_id)"""
+
 ORACLE = {
+    "op3_secrets": _SECRETS,
     "op5_chat": _CHAT,
     "op7_near_dedup": _NEAR,
     "op8_embeddings": _VECTORS,
