@@ -36,24 +36,62 @@ def whole_candidates(targets: DataFrame, lexicon: DataFrame, target: list[str],
 def composed_candidates(targets: DataFrame, pieces: DataFrame, target: list[str], max_pieces: int = 3, limit=lx.MAX_LEXICAL) -> DataFrame:
     """Surfaces of up to three lexicon pieces whose readings add up to the target's, in order of their paths.
 
-    Pieces join on each prefix of what is left of the reading; a path ends when nothing is left.
     pieces(surface, reading) are ordered by length of reading, then surface, as a depth-first visit takes them.
+    Paths are made once for each reading, from its end: the first ``limit + 1`` surfaces (a target may be one of them)
+    of what is left after a piece give those of the whole. The surfaces of i pieces of one reading, each before all
+    of r rests, are at least i + r - 1, as they are so many steps of a chain by length, then letters; rows that come
+    after more than ``limit`` others are not made, so a reading's rows do not grow with the lexicon.
     """
-    p = pieces.where("reading <> ''").select(F.col("reading").alias("_r"), F.col("surface").alias("_s"), F.struct(F.length("reading").alias("n"), F.col("surface").alias("s")).alias("_k"))
-    most = pieces.agg(F.coalesce(F.max(F.length("reading")), F.lit(1)).alias("_most"))
-    live = targets.select(*target, "text", F.col("reading").alias("_left"), F.lit("").alias("candidate"), F.array().cast("array<struct<n:int,s:string>>").alias("path"))
+    most_kept = limit + 1
+    p = pieces.where("reading <> '' AND surface IS NOT NULL").select(F.col("reading").alias("_p"), F.col("surface").alias("_s")).distinct()
+    p = p.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy("_s"))).where(F.col("_i") <= most_kept)
+    readings = pieces.where("reading <> ''").select(F.col("reading").alias("_p")).distinct()
+    longest = pieces.agg(F.coalesce(F.max(F.length("reading")), F.lit(1)).alias("_most"))
+
+    def firsts(whole: DataFrame) -> DataFrame:
+        """(_x, candidate, path): the first surfaces of each _x, once each, and how many they are (_r)."""
+        once = whole.groupBy("_x", "candidate").agg(F.min("path").alias("path"))
+        w = Window.partitionBy("_x")
+        once = once.withColumns({"_k": F.row_number().over(w.orderBy("path")), "_r": F.least(F.count("*").over(w), F.lit(most_kept))})
+        return once.where(F.col("_k") <= most_kept).drop("_k")
+
+    # from the front: each prefix that is a piece's whole reading, and what it leaves, for one piece fewer
+    left, cuts = targets.where("reading <> ''").select(F.col("reading").alias("_x")).distinct(), []
+    for _ in range(max_pieces - 1):
+        at = left.withColumn("_most", longest.scalar()).withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("_x"), F.col("_most")))))
+        cuts.append(at.select("_x", F.substring(F.col("_x"), F.lit(1), F.col("_n")).alias("_p"), F.substring(F.col("_x"), F.col("_n") + 1, F.length("_x")).alias("_left")).join(readings, "_p", "left_semi"))
+        left = cuts[-1].where("_left <> ''").select(F.col("_left").alias("_x")).distinct()
+    # from the end: single pieces, then a piece before the first surfaces of what it leaves
+    step = F.struct(F.length("_p").alias("n"), F.col("_s").alias("s"))
+    single = p.select(F.col("_p").alias("_x"), F.col("_s").alias("candidate"), F.array(step).alias("path"))
+    made = firsts(single)
+    for at in reversed(cuts):
+        rest = made.select(F.col("_x").alias("_left"), F.col("candidate").alias("_c"), F.col("path").alias("_path"), "_r")
+        whole = at.where("_left = ''").select("_x").join(single, "_x")
+        longer = at.join(p, "_p").join(rest, "_left").where((F.col("_i") == 1) | (F.col("_i") + F.col("_r") <= most_kept + 1))
+        made = firsts(whole.unionByName(longer.select("_x", F.concat("_s", "_c").alias("candidate"), F.concat(F.array(step), "_path").alias("path"))))
+    done = targets.select(*target, "text", F.col("reading").alias("_x")).join(made.drop("_r"), "_x").where("candidate <> text")
+    done = done.groupBy(*target, "text", "candidate").agg(F.min("path").alias("path"))
+    w = Window.partitionBy(*target).orderBy("path")
+    return done.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def composed_entries(entries: DataFrame, pieces: DataFrame, max_pieces: int = 3) -> DataFrame:
+    """(candidate, reading, path): entries that up to three pieces(surface, reading) spell and sound, by the first of their paths.
+
+    Pieces join on a prefix of both what is left to spell and to sound, so what is made follows the entries' lengths.
+    """
+    p = pieces.where("reading <> ''").select(F.col("reading").alias("_r"), F.col("surface").alias("_s"))
+    step = F.struct(F.length("_r").alias("n"), F.col("_s").alias("s"))
+    live = entries.select("candidate", "reading", F.col("candidate").alias("_spell"), F.col("reading").alias("_left"), F.array().cast("array<struct<n:int,s:string>>").alias("path"))
     done = None
     for _ in range(max_pieces):
-        # each prefix that a piece can have, joined on the whole reading of the piece
-        live = live.where("_left <> ''").withColumn("_most", most.scalar()).withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("_left"), F.col("_most")))))
-        live = live.withColumn("_r", F.substring(F.col("_left"), F.lit(1), F.col("_n"))).join(p, "_r")
-        live = live.select(*target, "text", F.substring(F.col("_left"), F.length("_r") + 1, F.length("_left")).alias("_left"), F.concat("candidate", "_s").alias("candidate"), F.concat("path", F.array("_k")).alias("path"))
-        ended = live.where("_left = ''").drop("_left")
+        cut = live.where("_left <> ''").withColumn("_n", F.explode(F.sequence(F.lit(1), F.length("_left")))).withColumn("_m", F.explode(F.sequence(F.lit(0), F.length("_spell"))))
+        cut = cut.withColumns({"_r": F.substring(F.col("_left"), F.lit(1), F.col("_n")), "_s": F.substring(F.col("_spell"), F.lit(1), F.col("_m"))}).join(p, ["_r", "_s"])
+        live = cut.select("candidate", "reading", F.substring(F.col("_spell"), F.col("_m") + 1, F.length("_spell")).alias("_spell"), F.substring(F.col("_left"), F.col("_n") + 1, F.length("_left")).alias("_left"), F.concat("path", F.array(step)).alias("path"))
+        ended = live.where("_left = '' AND _spell = ''")
         done = ended if done is None else done.unionByName(ended)
-        live = live.where("_left <> ''")
-    done = done.where("candidate <> text").groupBy(*target, "text", "candidate").agg(F.min("path").alias("path"))
-    w = Window.partitionBy(*target).orderBy("path")
-    return done.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return done.groupBy("candidate", "reading").agg(F.min("path").alias("path"))
 
 
 def prefilter(targets: DataFrame, sentence: list[str], limit=lx.TARGETS_PER_SENTENCE) -> DataFrame:
@@ -173,8 +211,10 @@ def lexical_candidates(targets: DataFrame, lexicon: DataFrame, target: list[str]
     """
     whole = whole_candidates(targets, lexicon, target, limit).select(*target, "candidate", F.lit(0).alias("phase"), "rank")
     entry = lexicon.groupBy(F.col("surface").alias("candidate")).agg(F.min(F.struct("ord", "reading", "pos")).alias("e")).select("candidate", F.col("e.reading").alias("c_reading"), F.col("e.pos").alias("c_pos"))
-    made = composed_candidates(targets, lexicon.select("surface", "reading").distinct(), target, limit=1 << 30).drop("text").join(entry, "candidate").join(targets.select(*target, "text", "reading", "pos"), target)
-    made = made.where((F.col("c_reading") == F.col("reading")) & compatible(F.col("text"), F.col("pos"), F.col("candidate"), F.col("c_pos")))
+    made = composed_entries(entry.select("candidate", F.col("c_reading").alias("reading")), lexicon.select("surface", "reading").distinct())
+    made = targets.select(*target, "text", "reading", "pos").join(made, "reading").join(entry, "candidate")
+    made = made.where((F.col("candidate") != F.col("text")) & (F.col("c_reading") == F.col("reading")) & compatible(F.col("text"), F.col("pos"), F.col("candidate"), F.col("c_pos")))
+    made = made.withColumn("rank", F.row_number().over(Window.partitionBy(*target).orderBy("path")))
     both = whole.unionByName(made.select(*target, "candidate", F.lit(1).alias("phase"), "rank")).groupBy(*target, "candidate").agg(F.min(F.struct("phase", "rank")).alias("o"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy(*target).orderBy("o"))).where(F.col("rank") <= limit).drop("o")
 

@@ -164,3 +164,89 @@ def test_candidates_of_the_queries_by_brute_force(spark):
         print(name, len(rows), sum(r[2] > limit for r in rows))
         assert len(rows) == len(want) and set(rows) == want
     assert any(k > 10 for _, _, k in composed)
+
+
+def test_composed_like_a_loop_where_surfaces_meet(spark):
+    """Pieces that spell the same whole by several cuts, more of them than the limit: same ranks, and few rows made."""
+    rnd = random.Random(7)
+    lex = sorted({("".join(rnd.choice("aeb") for _ in range(rnd.randint(1, 3))), rnd.choice(("b", "c", "bc", "cb", "bb"))) for _ in range(60)} | {("aa", "b"), ("a", "b")})
+    targets = [(k, s, r) for k, (s, r) in enumerate(lex)] + [(1000 + k, t, r) for k, (t, r) in enumerate((("a", "bcbcb"), ("aaa", "bbbbbb"), ("a", "cbbcc"), ("a", "x"), ("a", "")))]
+
+    def paths(left, k):
+        if not left:
+            yield ()
+        elif k:
+            for s, r in lex:
+                if left.startswith(r):
+                    yield from (((len(r), s), *rest) for rest in paths(left[len(r):], k - 1))
+
+    t = spark.createDataFrame(targets, "t int, text string, reading string")
+    p = spark.createDataFrame(lex, "surface string, reading string")
+    for pieces, limit in ((1, 64), (2, 5), (3, 1), (3, 7), (3, 64), (3, 1 << 30)):
+        want = set()
+        for k, text, r in targets:
+            best = {}
+            for path in paths(r, pieces) if r else ():
+                c = "".join(s for _, s in path)
+                if c != text:
+                    best[c] = min(best.get(c, path), path)
+            want |= {(k, c, i) for i, c in enumerate(sorted(best, key=best.get)[:limit], 1)}
+        got = [(r.t, r.candidate, r["rank"]) for r in homophone.composed_candidates(t, p, ["t"], pieces, limit).collect()]
+        assert len(got) == len(want) and set(got) == want, (pieces, limit)
+
+
+def test_composed_makes_paths_once_for_a_reading(spark):
+    """20 homophones of each of three pieces: 8,000 paths a target, of which the first 65 decide."""
+    p = spark.createDataFrame([(f"{c}{i:02d}", c) for c in "xyz" for i in range(20)], "surface string, reading string")
+    t = spark.range(500).selectExpr("id AS t", "concat('x00y00z', lpad(id % 20, 2, '0')) AS text", "'xyz' AS reading")
+    out = homophone.composed_candidates(t, p, ["t"])
+    got = out.collect()
+    assert len(got) == 500 * 64 and {r.candidate for r in got if r["rank"] == 2 and r.t == 0} == {"x00y00z02"}
+
+    def most(plan):
+        metrics, kids, rows = plan.metrics(), plan.children(), 0
+        rows = metrics.get("numOutputRows").get().value() if metrics.contains("numOutputRows") else 0
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return most(plan.executedPlan())
+        if "QueryStage" in name:
+            return most(plan.plan())
+        return max([rows, *(most(kids.apply(i)) for i in range(kids.size()))])
+
+    assert 500 * 64 <= most(out._jdf.queryExecution().executedPlan()) < 100_000  # 4,000,000 if each target had its paths
+
+
+def test_lexical_candidates_like_a_loop(spark):
+    """Whole entries, then entries of equal reading that pieces spell, by their first path."""
+    rnd = random.Random(11)
+    lex = sorted({("".join(rnd.choice("山川木") for _ in range(rnd.randint(1, 3))), rnd.choice(("や", "か", "やか", "かや", "ややか"))) for _ in range(60)})
+    rows = [(k, s, r, [("名詞"), "一般" if len(s) % 2 else "固有"]) for k, (s, r) in enumerate(lex)]
+    first = {}
+    for _, s, r, pos in rows:
+        first.setdefault(s, (r, pos))
+    targets = [(k, s, r, pos) for k, s, r, pos in rows]
+
+    def paths(left, k):
+        if not left:
+            yield ()
+        elif k:
+            for s, r in lex:
+                if left.startswith(r):
+                    yield from (((len(r), s), *rest) for rest in paths(left[len(r):], k - 1))
+
+    for limit in (64, 2):
+        want = set()
+        for k, text, r, pos in targets:
+            whole = [s for _, s, x, _ in rows if x == r and s != text]
+            order = list(dict.fromkeys(whole))[:limit]
+            best = {}
+            for path in paths(r, 3):
+                c = "".join(s for _, s in path)
+                if c != text and c in first and first[c][0] == r and first[c][1] == pos:
+                    best[c] = min(best.get(c, path), path)
+            order = list(dict.fromkeys([*order, *sorted(best, key=best.get)]))[:limit]
+            want |= {(k, c, i) for i, c in enumerate(order, 1)}
+        t = spark.createDataFrame(targets, "t int, text string, reading string, pos array<string>")
+        x = spark.createDataFrame(rows, "ord int, surface string, reading string, pos array<string>")
+        got = [(r.t, r.candidate, r["rank"]) for r in homophone.lexical_candidates(t, x, ["t"], limit).collect()]
+        assert len(got) == len(want) and set(got) == want
