@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicons as lx
 from ..functions.text import boundary_overlap, compact, ends_with_any, starts_with_any
 from .sequence import islands, ordered
 
 TAIL = "struct<text:string,start:double,end:double,speaker_id:string>"
+MARK, STRONG, PAUSE = 1, 2, 4
+REASONS = ("terminal_mark", "strong_pause", "repeated_heading", "pause_after_sentence_final", "sentence_final_expression")
 
 
 def merge_overlaps(segments: DataFrame, key: str = "doc_id", order: str = "position", marks=(*lx.TERMINAL_MARKS, "?", "!")) -> DataFrame:
@@ -72,61 +74,76 @@ def split_sentences(words: DataFrame, keys: list[str], marks=lx.TERMINAL_MARKS,
     """Boundary decisions of sentences: (keys, word_idx, gap, reason, left_text, right_text).
 
     words(word_idx, text (normalised), start, end). What is left of a word counts from the last boundary, so a
-    sentence's words are folded. All that does not depend on that boundary is told before: what lies ahead of a word,
-    and how many characters to its left a mark or a suffix needs. The fold's state is numbers; texts are cut after it.
-    Rules are tried in order: a terminal mark splits; a final particle, a dependent prefix, or a digit after an
-    unfinished text never does; a strong pause, a repeated heading and a sentence-final text do.
+    sentence's words are folded, by one pass of a function over its text without white space; the texts of the
+    decisions are cut after it. Rules are tried in order: a terminal mark splits; a final particle, a dependent prefix,
+    or a digit after an unfinished text never does; a strong pause, a repeated heading and a sentence-final text do.
     """
     w = ordered(keys, ["word_idx"])
     text = F.coalesce("text", F.lit(""))
     words = words.select(*keys, "word_idx", text.alias("text"), compact(text).alias("c"), (F.lead("start").over(w) - F.col("end")).cast("double").alias("gap"), ends_with_any(text, marks).alias("mark"))
-    words = words.withColumns({"at": F.sum(F.length("text")).over(w).cast("int"), "at_c": F.sum(F.length("c")).over(w).cast("int")})
-    a = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("word_idx").cast("int").alias("word_idx"), "at", "at_c", "gap", "mark", "text", "c"))).alias("a")).where(F.size("a") > 1)
-    # the sentence as given and without white space
-    a = a.withColumns({"t": F.array_join(F.transform("a", lambda x: x["text"]), ""), "u": F.array_join(F.transform("a", lambda x: x["c"]), "")})
-    t, u = F.col("t"), F.col("u")
-    quotes = "[" + "".join(map(re.escape, lx.CLOSING_QUOTES)) + "]"
-    head, tail = max(map(len, (*particles, *prefixes, "0"))), max(map(len, (*marks, *suffixes))) + 32
-
-    def more(x, **columns):
-        return F.struct(*[x[n].alias(n) for n in ("word_idx", "at", "at_c", "gap", "mark")], *[c.alias(n) for n, c in columns.items()])
-
-    def around(x):
-        near = F.substring(u, F.greatest(x["at_c"] - tail, F.lit(0)) + 1, F.least(x["at_c"], F.lit(tail)))
-        near = F.when(near.rlike(quotes + "{32}$"), F.substring(u, F.lit(1), x["at_c"])).otherwise(near)
-        return more(x, near=near, bare=F.regexp_replace(near, quotes + "*$", ""), ahead=F.substring(u, x["at_c"] + 1, F.lit(head)))
-
-    def needed(x, endings):
-        """The least number of characters before a place that show one of the endings, closing quotes included; null: none does."""
-        fits = [F.when(x["bare"].endswith(e), F.lit(len(e))) for e in endings]
-        return F.least(*fits, F.lit(None).cast("int")) + F.length(x["near"]) - F.length(x["bare"])
-
-    def facts(x):
-        blocked = starts_with_any(x["ahead"], particles) | starts_with_any(x["ahead"], prefixes)
-        return more(x, marked=needed(x, marks), final=needed(x, suffixes), blocked=blocked, digit=x["ahead"].rlike(r"^\p{Nd}"))
-
-    a = a.withColumn("p", F.transform(F.transform("a", around), facts))
-    state = "struct<first:int,first_c:int,out:array<struct<word_idx:int,gap:double,reason:string,first:int,at:int>>>"
-
-    def step(acc, x):
-        at, at_c = x["at"], x["at_c"]
-        width = at_c - acc["first_c"]
-        final = F.coalesce(x["final"] <= width, F.lit(False))
-        repeated = F.substring(u, acc["first_c"] + 1, width) == F.substring(u, at_c + 1, width)
-        reason = (
-            F.when(x["mark"] | F.coalesce(x["marked"] <= width, F.lit(False)), "terminal_mark")
-            .when(x["blocked"] | (x["digit"] & ~final), F.lit(None))
-            .when(x["gap"] >= strong, "strong_pause")
-            .when((width >= 2) & repeated, "repeated_heading")
-            .when(final & (x["gap"] >= pause), "pause_after_sentence_final")
-            .when(final, "sentence_final_expression")
-        )
-        reason = F.when((at > acc["first"]) & (at < F.length(t)), reason)
-        one = F.struct(x["word_idx"].alias("word_idx"), F.greatest(x["gap"], F.lit(0.0)).alias("gap"), reason.alias("reason"), acc["first"].alias("first"), at.alias("at"))
-        return F.when(reason.isNotNull(), F.struct(at.alias("first"), at_c.alias("first_c"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
-
-    zero = F.struct(F.lit(0).alias("first"), F.lit(0).alias("first_c"), F.array().alias("out")).cast(state)
-    folded = F.aggregate(F.slice("p", 1, F.size("p") - 1), zero, step)["out"]
-    d = a.select(*keys, "t", F.explode(folded).alias("d"))
+    flags = sum((F.when(flag, bit).otherwise(0) for bit, flag in ((MARK, F.col("mark")), (STRONG, F.col("gap") >= strong), (PAUSE, F.col("gap") >= pause))), F.lit(0))
+    words = words.withColumns({"at": F.sum(F.length("text")).over(w).cast("int"), "at_c": F.sum(F.length("c")).over(w).cast("int"), "flags": flags})
+    a = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("word_idx").cast("int").alias("word_idx"), "at", "at_c", "gap", "flags", "text", "c"))).alias("a")).where(F.size("a") > 1)
+
+    def each(field):
+        return F.transform("a", lambda x: x[field])
+
+    a = a.withColumn("b", boundaries(marks, suffixes, particles, prefixes)(F.array_join(each("c"), ""), each("at"), each("at_c"), each("flags")))
+
+    def decision(b, i):
+        x, first = F.get("a", F.shiftright(b, 3)), F.get("a", F.shiftright(F.get("b", i - 1), 3))["at"]
+        reason = F.element_at(F.array(*map(F.lit, REASONS)), b.bitwiseAND(7))
+        return F.struct(x["word_idx"].alias("word_idx"), F.greatest(x["gap"], F.lit(0.0)).alias("gap"), reason.alias("reason"), F.coalesce(first, F.lit(0)).alias("first"), x["at"].alias("at"))
+
+    d = a.select(*keys, F.array_join(each("text"), "").alias("t"), F.explode(F.transform("b", decision)).alias("d"))
+    t = F.col("t")
     cut = F.substring(t, F.col("d.first") + 1, F.col("d.at") - F.col("d.first"))
     return d.select(*keys, "d.word_idx", "d.gap", "d.reason", cut.alias("left_text"), F.substring(t, F.col("d.at") + 1, F.length(t)).alias("right_text"))
+
+
+def boundaries(marks, suffixes, particles, prefixes):
+    """A function of sentences (text without white space, ends of words with and without it, their flags): boundaries as 8 * word + reason."""
+    marks, suffixes, blocked, quotes = tuple(marks), tuple(suffixes), (*particles, *prefixes), "".join(lx.CLOSING_QUOTES)
+
+    def same(u, a, b, n):
+        # by growing pieces, as most texts differ soon
+        done, piece = 0, 16
+        while done < n:
+            end = min(done + piece, n)
+            if u[a + done : a + end] != u[b + done : b + end]:
+                return False
+            done, piece = end, 2 * piece
+        return True
+
+    def walk(u, at, at_c, flags):
+        out, end = [], at[-1]
+        first = first_c = solid = before = 0
+        for i in range(len(at) - 1):
+            here, flag = at_c[i], flags[i]
+            # up to where the text has no closing quotes at its end
+            said = len(u[before:here].rstrip(quotes))
+            solid, before = before + said if said else solid, here
+            if not first < at[i] < end:
+                continue
+            width, reason = here - first_c, 0
+            if flag & MARK or u.endswith(marks, first_c, solid):
+                reason = 1
+            elif not u.startswith(blocked, here):
+                final = u.endswith(suffixes, first_c, solid)
+                if final or not u[here : here + 1].isdecimal():
+                    if flag & STRONG:
+                        reason = 2
+                    elif width >= 2 and u[first_c : first_c + 2] == u[here : here + 2] and same(u, first_c, here, width):
+                        reason = 3
+                    elif final:
+                        reason = 4 if flag & PAUSE else 5
+            if reason:
+                out.append(8 * i + reason)
+                first, first_c = at[i], here
+        return out
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def folded(u: pd.Series, at: pd.Series, at_c: pd.Series, flags: pd.Series) -> pd.Series:
+        return pd.Series([walk(s, *(x.tolist() for x in row)) for s, *row in zip(u, at, at_c, flags)], dtype=object)
+
+    return folded

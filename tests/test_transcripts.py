@@ -250,3 +250,59 @@ def test_lexical_candidates_like_a_loop(spark):
         x = spark.createDataFrame(rows, "ord int, surface string, reading string, pos array<string>")
         got = [(r.t, r.candidate, r["rank"]) for r in homophone.lexical_candidates(t, x, ["t"], limit).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def split_by_rules(words, marks=("。",), suffixes=("ます", "です", "だ"), particles=("か", "ね"), prefixes=("とき", "ので")):
+    """split_sentences as its rules say, over (text, start, end) in order: (word_idx, gap, reason, left, right)."""
+    import re
+
+    quotes = "」』）)】］]〉》"
+    out, first = [], 0
+    texts = [t or "" for t, _, _ in words]
+    bare = ["".join(t.split()) for t in texts]
+    for i in range(len(words) - 1):
+        a, b = words[i][2], words[i + 1][1]
+        gap = None if a is None or b is None else b - a
+        left, right, l, r = "".join(texts[first : i + 1]), "".join(texts[i + 1 :]), "".join(bare[first : i + 1]), "".join(bare[i + 1 :])
+        final = l.rstrip(quotes).endswith(suffixes)
+        if not left or not right:
+            continue
+        if bare[i].rstrip(quotes).endswith(marks) or l.rstrip(quotes).endswith(marks):
+            reason = "terminal_mark"
+        elif r.startswith((*particles, *prefixes)) or (re.match(r"\d", r) and not final):
+            continue
+        elif gap is not None and gap >= 1.5:
+            reason = "strong_pause"
+        elif len(l) >= 2 and r.startswith(l):
+            reason = "repeated_heading"
+        elif final:
+            reason = "pause_after_sentence_final" if gap is not None and gap >= 0.5 else "sentence_final_expression"
+        else:
+            continue
+        out.append((i, max(gap or 0.0, 0.0), reason, left, right))
+        first = i + 1
+    return out
+
+
+def test_split_by_its_rules(spark):
+    rnd = random.Random(5)
+    parts = ["。", "ます", "ま", "す", "で", "です", "だ", "か", "ね", "とき", "と", "き", "の", "ので", "7", "３", "」", "』」", "」" * 33, " ", "\u3000", "", None, "山", "川", "山川", "天気", "𠮷", "る 。", "ま す」"]
+    docs = [[(rnd.choice(parts[-8:] if k % 3 == 0 else parts), None if rnd.random() < 0.05 else i * 4.0, i * 4.0 + 4.0 - rnd.choice((0.0, 0.25, 0.5, 1.0, 1.5, 2.0, -1.0))) for i in range(rnd.randint(1, 30))] for k in range(400)]
+    df = spark.createDataFrame([(k, i, *w) for k, d in enumerate(docs) for i, w in enumerate(d)], "doc_id int, word_idx int, text string, start double, end double")
+    out = boundary.split_sentences(df, ["doc_id"], marks=("。",), suffixes=("ます", "です", "だ"), particles=("か", "ね"), prefixes=("とき", "ので"))
+    want = {(k, *d) for k, doc in enumerate(docs) for d in split_by_rules(doc)}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want and {r[3] for r in got} == set(boundary.REASONS)
+
+
+def test_split_of_a_long_sentence(spark):
+    """A sentence's time grows as its length does: looking into its text from its start for each of 40,000 words takes minutes."""
+    import time
+
+    rnd = random.Random(9)
+    words = [(0, i, "".join(rnd.choice("山川木") for _ in range(4)), float(i), i + 1.0) for i in range(40_000)] + [(0, 40_000, "です", 40_000.0, 40_001.0), (0, 40_001, "終", 40_002.0, 40_003.0)]
+    df = spark.createDataFrame(words, "doc_id int, word_idx int, text string, start double, end double").coalesce(1)
+    began = time.time()
+    out = [(r.word_idx, r.reason, len(r.left_text), r.right_text) for r in boundary.split_sentences(df, ["doc_id"]).collect()]
+    assert out == [(40_000, "pause_after_sentence_final", 160_002, "終")]
+    assert time.time() - began < 40
